@@ -56,3 +56,19 @@ def clear_name(df: DataFrame, wanted: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def map_lists(df: DataFrame, func, schema: str) -> DataFrame:
+    """func(dict of column -> list) -> dict of column -> list, batch by batch through Arrow. Rows may grow or go."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    target = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches):
+        for batch in batches:
+            out = func(batch.to_pydict())
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
+
+    return df.mapInArrow(run, schema)

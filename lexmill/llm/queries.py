@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import table
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.secret_scan import secret_scan
+
+    return secret_scan(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmill.llm.quality import quality_rules
 
@@ -26,6 +32,7 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_secret_scan": op6_secret_scan,
     "op7_quality_rules": op7_quality_rules,
     "op10_chat_windows": op10_chat_windows,
 }
