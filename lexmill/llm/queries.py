@@ -22,6 +22,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.pii import pii_spans
+
+    return pii_spans(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmill.llm.chat import chat_windows, read_back
 
@@ -34,6 +40,7 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secret_scan": op6_secret_scan,
     "op7_quality_rules": op7_quality_rules,
+    "op9_pii_spans": op9_pii_spans,
     "op10_chat_windows": op10_chat_windows,
 }
 
