@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import table
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmill.llm.secret_scan import secret_scan
 
@@ -38,6 +44,7 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": op3_language_id,
     "op6_secret_scan": op6_secret_scan,
     "op7_quality_rules": op7_quality_rules,
     "op9_pii_spans": op9_pii_spans,
