@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import table
 
 
+def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmill.llm.langid import identify
 
@@ -56,6 +62,7 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_main_text": op1_html_main_text,
     "op3_language_id": op3_language_id,
     "op4_source_mix": op4_source_mix,
     "op6_secret_scan": op6_secret_scan,
