@@ -28,6 +28,13 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"))
 
 
+def op5_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.neighbours import search
+
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return search(vectors, vectors.where(F.col("id") % 20 == 0))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmill.llm.secret_scan import secret_scan
 
@@ -65,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_main_text": op1_html_main_text,
     "op3_language_id": op3_language_id,
     "op4_source_mix": op4_source_mix,
+    "op5_nearest_vectors": op5_nearest_vectors,
     "op6_secret_scan": op6_secret_scan,
     "op7_quality_rules": op7_quality_rules,
     "op8_sentencepiece": op8_sentencepiece,
