@@ -174,4 +174,6 @@ def filter_quality(docs: DataFrame, params: QualityParams = QualityParams()) ->
     held = clear_name(docs, "whole_row")
     refs = references(with_counts(docs.select("text", "lang")), params.least_words)
     packed = docs.select(F.struct(*docs.columns).alias(held), "text", "lang")
-    return judged(measured(packed, params), refs, params).where("kept").select(f"{held}.*")
+    # the row number keeps the optimizer from pushing the filter down, which would compute each step of kept anew for every use of it
+    out = judged(measured(packed, params), refs, params).withColumn("row_number", F.monotonically_increasing_id())
+    return out.where(F.col("kept") & (F.col("row_number") >= 0)).select(f"{held}.*")
