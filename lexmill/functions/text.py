@@ -7,6 +7,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: Accented Greek small letters (one code point each) and their plain letters.
 ACCENTED, PLAIN = "άέήίόύώϊϋΐΰ", "αεηιουωιυιυ"
@@ -35,14 +36,14 @@ def accent_key(text: str | None) -> str:
     return " ".join(unicodedata.normalize("NFC", unicodedata.normalize("NFC", text or "").lower().replace("ς", "σ")).split())
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def fold_key_udf(text):
-    return text.map(fold_key, na_action=None)
+    return text.astype(object).map(lambda t: fold_key(t) if isinstance(t, str) else "")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def accent_key_udf(text):
-    return text.map(accent_key, na_action=None)
+    return text.astype(object).map(lambda t: accent_key(t) if isinstance(t, str) else "")
 
 
 def tokens(text: Column) -> Column:
