@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.llm import oracles
 from lexmill.llm.common import table
 
 
@@ -19,7 +20,7 @@ def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmill.llm.jaccard import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("class_links")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +51,8 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmill.llm.quality import quality_rules
 
-    return quality_rules(table(spark, sf_dir, "documents"))
+    out = quality_rules(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 6) for c in ("char_jsd", "word_jsd")})
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,4 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_windows": op10_chat_windows,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard": oracles.op2(),
+    "op7_quality_rules": oracles.op7(),
+    "op10_chat_windows": oracles.op10(),
+}
