@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as tx
-from lexmill.operators import calibration, contexts, frequency, lexicon, trends, vectors
+from lexmill.functions import morphology
+from lexmill.operators import calibration, contexts, domains, drift, frequency, lexicon, manifest, trends, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -410,3 +411,48 @@ def percentile_ci(spark, sf):
     x = F.col("l_extendedprice")
     both = _t(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.percentile(x, [0.025, 0.975]).alias("p"), F.stddev_samp(x).alias("sd"), F.count("*").alias("n")).where("n >= 2")
     return both.select("l_returnflag", F.round(F.col("p")[0], 4).alias("low"), F.round(F.col("p")[1], 4).alias("high"), F.round("sd", 4).alias("sd"))
+
+
+# --- learned and sampled: rows only, tested by their properties ---
+
+
+@query()
+def domain_classifier(spark, sf):
+    rows = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("domain"), "embedding")
+    return domains.classify(rows, "domain", "embedding")
+
+
+@query()
+def word2vec_drift(spark, sf):
+    docs = _t(spark, sf, "documents").where("lang = 'en' AND source IN ('src1', 'src2')").select("source", tx.tokens(F.col("text")).alias("tokens"))
+    years = {"src1": 2001, "src2": 2009}
+    slices = [drift.train(docs.where(F.col("source") == s), size=16, min_count=3, epochs=1).withColumn("corpus", F.lit("en")).withColumn("year", F.lit(y)) for s, y in years.items()]
+    return drift.aligned_drift(slices[0].unionByName(slices[1]), 2001, floor=3)
+
+
+@query()
+def bootstrap_share_ci(spark, sf):
+    lines = _t(spark, sf, "documents").select("doc_id", "lang")
+    drawn = drift.bootstrap_weights(lines, 40)
+    total = F.sum("weight").over(Window.partitionBy("replicate"))
+    shares = drawn.groupBy("replicate", "lang").agg(F.sum("weight").alias("weight")).withColumn("share", F.col("weight") / total)
+    return drift.percentile_interval(shares, ["lang"], "share", 20)
+
+
+@query()
+def hash_sample(spark, sf):
+    return drift.hash_sample(_t(spark, sf, "documents").select("lang", "doc_id"), ["lang"], 10)
+
+
+@query()
+def manifest_checks(spark, sf):
+    counts = F.create_map(F.lit("documents"), F.lit(1).cast("bigint"))
+    builds = spark.range(1).select(F.lit("corpus").alias("component"), F.lit(manifest.SCHEMA_VERSION).alias("version"), F.lit("").alias("commit"), F.timestamp_seconds(F.lit(0)).alias("run_at"), counts.alias("row_counts"))
+    none = spark.range(1).select(F.lit(None).cast("double").alias("drift_ci_lo"), F.lit(None).cast("double").alias("drift_score_boot"))
+    return manifest.checks(builds, token_frequency_zipf(spark, sf), none, ["documents", "events"])
+
+
+@query()
+def paradigm_generate(spark, sf):
+    words = [(1, "άνθρωπος", "noun", "masculine"), (2, "όνομα", "noun", "neuter"), (3, "καλός", "adj", None), (4, "γράφω", "verb", None), (5, "γάιδαρος", "noun", "masculine")]
+    return morphology.paradigms(spark.createDataFrame(words, "id bigint, lemma string, pos string, gender string"))
