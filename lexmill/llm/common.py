@@ -72,3 +72,18 @@ def map_lists(df: DataFrame, func, schema: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)
+
+
+def bitmap(cells: DataFrame, bits: int) -> bytes:
+    """A bitmap of 2**bits cells, little end first, with the numbers in cells' one column set.
+
+    The tasks put the bits together, 64 to a word, so that the driver gets words of the bitmap and
+    never what they stand for: 2**(bits - 6) small rows at most.
+    """
+    import numpy as np
+
+    parts = cells.toDF("cell").selectExpr("shiftright(cast(cell as bigint), 6) AS word", "shiftleft(1L, cast(cell % 64 as int)) AS bit")
+    found = parts.groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
+    out = np.zeros(1 << max(bits - 6, 0), np.int64)
+    out[found["word"].to_numpy(np.int64)] = found["bit"].to_numpy(np.int64)
+    return out.astype("<i8").tobytes()

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import map_lists, written
+from lexmill.llm.common import bitmap, map_lists, written
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
@@ -121,17 +121,14 @@ def surveyed(docs: DataFrame, params: JaccardParams) -> DataFrame:
 
 
 def frequent_bitmap(survey: DataFrame, params: JaccardParams) -> bytes:
-    """Cells of frequent tokens: at most as many numbers as the bitmap has cells come to the driver."""
+    """The bitmap of frequent tokens."""
     tokens = survey.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= params.frequent)
-    cells = tokens.select((F.pmod("token", F.lit(1 << params.bitmap_bits))).cast("int").alias("cell")).distinct().toPandas()["cell"].to_numpy()
-    bitmap = np.zeros(1 << params.bitmap_bits, bool)
-    bitmap[cells] = True
-    return np.packbits(bitmap).tobytes()
+    return bitmap(tokens.select(F.pmod("token", F.lit(1 << params.bitmap_bits))), params.bitmap_bits)
 
 
-def prefixes(docs: DataFrame, bitmap: bytes, params: JaccardParams) -> DataFrame:
+def prefixes(docs: DataFrame, frequent: bytes, params: JaccardParams) -> DataFrame:
     """(doc_id, print, n, rare, index, p0, p1, p2): prefix tokens under each order; index is the smaller side's length in p0."""
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+    sent = docs.sparkSession.sparkContext.broadcast(frequent)
     mask = np.uint64((1 << params.bitmap_bits) - 1)
 
     def run(batch: dict) -> dict:
@@ -143,7 +140,7 @@ def prefixes(docs: DataFrame, bitmap: bytes, params: JaccardParams) -> DataFrame
             if not n:
                 continue
             cell = tokens & mask
-            often = (bits[cell >> np.uint64(3)] >> (np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8))) & 1 == 1
+            often = (bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
             rare = n - int(often.sum())
             probe, index = prefix_lengths(n, rare, params)
             row = [doc_id, hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), n, rare, index]
@@ -169,14 +166,12 @@ def compared(docs: DataFrame, pairs: DataFrame, params: JaccardParams) -> DataFr
     """The rows of pairs(a, b) that link, by their whole sets. Only documents of pairs are read into sets."""
     bits = params.filter_bits
     cell = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).select(cell("id").cast("int").alias("cell")).distinct().toPandas()["cell"].to_numpy()
-    wanted = np.zeros(1 << bits, bool)
-    wanted[ids] = True
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted).tobytes())
+    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b"))
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(cell("id")), bits))
 
     def read(batch: dict) -> dict:
         flags = np.frombuffer(sent.value, np.uint8)
-        hit = [(i, t) for i, t, c in zip(batch["doc_id"], batch["text"], batch["cell"]) if c is not None and flags[c >> 3] >> (7 - (c & 7)) & 1]
+        hit = [(i, t) for i, t, c in zip(batch["doc_id"], batch["text"], batch["cell"]) if c is not None and flags[c >> 3] >> (c & 7) & 1]
         return {"id": [i for i, _ in hit], "tokens": [shingles(t, params.words).tobytes() for _, t in hit]}
 
     read_in = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", cell("doc_id").alias("cell"))
@@ -251,8 +246,7 @@ def near_duplicates(docs: DataFrame, params: JaccardParams = JaccardParams()) ->
     docs = docs.select("doc_id", "text")
     survey = written(surveyed(docs, params), "survey")
     rows = survey.where(F.col("token").isNull()).select("doc_id", "n", "print")
-    bitmap = frequent_bitmap(survey, params)
-    known = prefixes(docs.where(F.col("doc_id").isNotNull()), bitmap, params)
+    known = prefixes(docs.where(F.col("doc_id").isNotNull()), frequent_bitmap(survey, params), params)
     same = [F.first(c).alias(c) for c in ("n", "rare", "index", "p0", "p1", "p2")]
     classes = written(known.groupBy("print").agg(F.min("doc_id").alias("rep"), *same), "classes")
     links, comps = linked_classes(docs, classes, params)

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import clear_name, map_lists, written
+from lexmill.llm.common import bitmap, clear_name, map_lists, written
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 #: The base forms. An email's local part is found backwards from its "@".
@@ -143,13 +143,10 @@ def context_pairs(found: DataFrame, least: int) -> DataFrame:
 
 def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, documents): in how many documents each of terms is; words outside the bitmap of terms are left out early."""
-    cells = [r[0] for r in terms.select(F.pmod("term", F.lit(BITS)).alias("cell")).distinct().collect()]
-    if not cells:
+    cells = bitmap(terms.select(F.pmod("term", F.lit(BITS))), BITS.bit_length() - 1)
+    if not any(cells):
         return terms.select("term", F.lit(0).cast("bigint").alias("documents"))
-    bitmap = bytearray(BITS // 8)
-    for c in cells:
-        bitmap[c >> 3] |= 1 << (c & 7)
-    sent = docs.sparkSession.sparkContext.broadcast(bytes(bitmap))
+    sent = docs.sparkSession.sparkContext.broadcast(cells)
 
     def count(batch: dict) -> dict:
         bits, counts, known = sent.value, Counter(), {}
