@@ -58,8 +58,11 @@ def clear_name(df: DataFrame, wanted: str) -> str:
     return name
 
 
-def map_lists(df: DataFrame, func, schema: str) -> DataFrame:
-    """func(dict of column -> list) -> dict of column -> list, batch by batch through Arrow. Rows may grow or go."""
+def map_lists(df: DataFrame, func, schema: str, rows: int | None = 2000) -> DataFrame:
+    """func(dict of column -> list) -> dict of column -> list, at most `rows` rows at a time (None: a whole Arrow batch). Rows may grow or go.
+
+    The parts bound what Python objects take; functions that sum up what they get take whole batches.
+    """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -68,8 +71,10 @@ def map_lists(df: DataFrame, func, schema: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = func(batch.to_pydict())
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
+            step = rows or max(batch.num_rows, 1)
+            for at in range(0, batch.num_rows, step):
+                out = func(batch.slice(at, step).to_pydict())
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)
 

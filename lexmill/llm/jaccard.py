@@ -104,14 +104,14 @@ def surveyed(docs: DataFrame, params: JaccardParams) -> DataFrame:
             none = [None] * len(keys)
             return pa.RecordBatch.from_arrays([pa.array(none, pa.int64()), pa.array(n, pa.int64()), pa.array(none, pa.binary()), pa.array(keys)], schema=types)
 
-        for batch in batches:
+        for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
             held: list = []
             run(list(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())), held, done)
             new = [t for *_, t in held if t is not None]
             parts += new
             size += sum(map(len, new))
             yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in held], types.field(i).type) for i in range(3)] + [pa.array([None] * len(held), pa.int64())], schema=types)
-            if size > 6_000_000:
+            if size > 3_000_000:
                 yield tokens_out()
                 parts, size = [], 0
         if parts:

@@ -160,7 +160,7 @@ def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
                     counts[h] += 1
         return {"term": list(counts), "documents": list(counts.values())}
 
-    counted = map_lists(docs.select("text"), count, "term bigint, documents bigint")
+    counted = map_lists(docs.select("text"), count, "term bigint, documents bigint", rows=None)
     return counted.groupBy("term").agg(F.sum("documents").alias("documents")).join(terms, "term", "left_semi")
 
 
