@@ -36,8 +36,9 @@ NORMAL, BYTE = 1, 6  #: piece types in the file
 @dataclass(frozen=True)
 class SpmParams:
     model_path: str = "/opt/tokenizers/piece_bpe_32k.model"
-    memo_words: int = 300_000  #: words a worker remembers between batches
-    memo_pairs: int = 400_000
+    memo_words: int = 50_000  #: short words, the frequent ones, that a worker remembers between batches
+    memo_letters: int = 7
+    memo_pairs: int = 200_000
 
 
 def _fields(data: bytes):
@@ -92,6 +93,7 @@ class Vocabulary:
             raise ValueError("a piece of the vocabulary spans words")
         if len(self.byte_ids) != 256:
             raise ValueError("the vocabulary lacks bytes")
+        self.plain = {i: p for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
         self.params = params
         self.words: dict[str, tuple[int, ...]] = {}
@@ -151,20 +153,30 @@ class Vocabulary:
         at = self.ids.get(piece)
         return [at] if at is not None else [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
 
-    def encode(self, texts: list[str | None]) -> list[array]:
+    def encode(self, texts: list[str | None]) -> tuple[list[array], list[bool]]:
+        """Ids of each text, and whether they decode to it.
+
+        Pieces do not span words and every word's bytes are whole characters, so a text decodes to
+        itself if its words do: the check is made once for each distinct word.
+        """
         split = [WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         known = self.words
-        new = sorted({w for words in split for w in words if w not in known})
-        room = self.params.memo_words - len(known)
+        new = sorted(set(chain.from_iterable(split)).difference(known))
         here = dict(self.walk(new))
-        if len(here) <= room:
-            known.update(here)
-            here = known
-        else:  # the memory is full: the words it has were met early and are the frequent ones
-            here.update((w, known[w]) for words in split for w in words if w in known)
-        return [array("i", chain.from_iterable(map(here.__getitem__, words))) for words in split]
-
-    def decode(self, ids) -> str:
+        odd = {w for w, ids in here.items() if self.decode_word(ids) != w}
+        keep = [w for w in here if len(w) <= self.params.memo_letters and w not in odd][: max(0, self.params.memo_words - len(known))]
+        here.update((w, known[w]) for w in set(chain.from_iterable(split)).intersection(known))
+        known.update((w, here[w]) for w in keep)
+        ids = [array("i", chain.from_iterable(map(here.__getitem__, words))) for words in split]
+        return ids, [not odd or odd.isdisjoint(words) for words in split]
+
+    def decode_word(self, ids: tuple[int, ...]) -> str:
+        try:
+            return self.plain[ids[0]] if len(ids) == 1 else "".join([self.plain[i] for i in ids])
+        except KeyError:
+            return self.decode(ids, marked=True)
+
+    def decode(self, ids, marked: bool = False) -> str:
         parts, waiting = [], bytearray()
         for i in ids:
             byte = self.byte_of.get(i)
@@ -177,7 +189,7 @@ class Vocabulary:
             parts.append(self.pieces[i])
         if waiting:
             parts.append(waiting.decode("utf-8", "replace"))
-        return "".join(parts)[1:].replace(MARK, " ")
+        return "".join(parts) if marked else "".join(parts)[1:].replace(MARK, " ")
 
 
 def model_bytes(spark: SparkSession, path: str) -> bytes:
@@ -199,7 +211,7 @@ def _vocabulary(data: bytes, params: SpmParams) -> Vocabulary:
     return _LOADED[key]
 
 
-def encode(docs: DataFrame, params: SpmParams = SpmParams(), rows: int = 4000) -> DataFrame:
+def encode(docs: DataFrame, params: SpmParams = SpmParams(), rows: int = 1000) -> DataFrame:
     """doc_id, n_tokens, ids and round_trip (whether ids decode to the text), for each row of docs(doc_id, text)."""
     import pyarrow as pa
 
@@ -211,8 +223,7 @@ def encode(docs: DataFrame, params: SpmParams = SpmParams(), rows: int = 4000) -
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 texts = part.column("text").to_pylist()
-                ids = vocabulary.encode(texts)
-                same = [vocabulary.decode(i) == (t or "").replace(MARK, " ") for i, t in zip(ids, texts)]
+                ids, same = vocabulary.encode(texts)
                 offsets = [0]
                 flat = array("i")
                 for i in ids:
