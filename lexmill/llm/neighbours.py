@@ -4,15 +4,19 @@ Every tree hashes a vector to a long string of bits (signs of random projections
 more component that makes their norms equal, so that the largest inner product is the smallest
 angle). In a tree the strings are sorted arrays, split where a prefix has at most leaf_rows vectors.
 A query descends in all trees to its longest prefix and ascends in all of them together, one level
-at a time, until the prefixes hold `candidates` vectors in sum; those are scored exactly, in double
+at a time, until the prefixes hold enough vectors in sum; those are scored exactly, in double
 precision. The counts of prefixes that decide the level are a table of fixed size.
 
+How many are enough is measured on the data at hand. A sample of the queries is held against every
+vector, and `candidates` is doubled until the prefixes hold least_recall of the sample's true
+neighbours, by the mean less three standard errors. Where no prefix is enough, every row is scored.
+
 Equal vectors are one entry with their k + 1 smallest ids, so a vector that many rows share is no
 hot spot; queries with equal vectors are searched once. A leaf that cannot be split by prefix is
 dealt to sub-leaves. Each level looks at whole leaves: shuffled rows are trees times vectors.
 
-Recall depends on the data: on directions without clusters a share of all rows must be scored, so
-for many more than `candidates` rows of such data raise candidates with the rows.
+On directions without clusters a share of all rows has to be scored, so that work on such data grows
+with vectors times queries.
 
 Defined results: vectors that are null, empty, all zero, or hold null, NaN or infinite components
 take no part, nor do null ids; shorter vectors are padded with zeros; rows that repeat an id and a
@@ -38,7 +42,9 @@ class ForestParams:
     bits: int = 63
     route_bits: int = 12  #: depth of the table of prefix counts
     leaf_rows: int = 16_384
-    candidates: int = 65_536
+    candidates: int = 65_536  #: the least that the prefixes hold
+    least_recall: float = 0.9  #: of the true neighbours of sampled queries
+    sampled: int = 128  #: queries held against every vector
     seed: int = 11
 
 
@@ -102,14 +108,25 @@ class Router:
             self.starts.append(np.array(starts))
             self.parts.append(np.array(parts))
 
+        self.candidates = params.candidates
+
     def level(self, h: np.ndarray) -> int:
         """How deep the prefixes of a query with hashes h go: the deepest level with enough vectors in all trees together."""
         top = h >> (self.params.bits - self.params.route_bits)
         for x in range(self.params.route_bits, 0, -1):
-            if sum(int(self.levels[x][t, p >> (self.params.route_bits - x)]) for t, p in enumerate(top)) >= self.params.candidates:
+            if sum(int(self.levels[x][t, p >> (self.params.route_bits - x)]) for t, p in enumerate(top)) >= self.candidates:
                 return x
         return 0
 
+    def widen(self, h: np.ndarray, depths: list[list[int]]) -> None:
+        """Sets candidates by queries with hashes h, whose true neighbours share prefixes of depths with them."""
+        some = [(x, np.array(d)) for x, d in zip(h, depths) if d]
+        while some and self.candidates <= int(self.levels[0].sum()):
+            recall = np.array([(d >= self.level(x)).mean() for x, d in some])
+            if recall.mean() - 3 * recall.std() / math.sqrt(len(recall)) >= self.params.least_recall:
+                return
+            self.candidates *= 2
+
     def groups(self, h: np.ndarray, level: int):
         """(tree, leaf, part) that hold the query's prefixes; at level 0 one tree has all."""
         depth = self.params.route_bits
@@ -125,6 +142,40 @@ class Router:
         return int(np.searchsorted(self.starts[t], h >> (self.params.bits - self.params.route_bits), "right")) - 1
 
 
+def common_depths(a: np.ndarray, b: np.ndarray, params: ForestParams) -> np.ndarray:
+    """The longest prefix, up to route_bits, that the hashes a and b (the last axis: trees) share in any tree."""
+    apart = (a ^ b) >> (params.bits - params.route_bits)
+    return (params.route_bits - np.frexp(apart.astype(float))[1]).max(-1)
+
+
+def true_depths(data: DataFrame, q: np.ndarray, h: np.ndarray, params: ForestParams) -> list[list[int]]:
+    """For each query of q with hashes h, the common depths of its k nearest other vectors among all of data(v, ids, h)."""
+    import pandas as pd
+
+    def run(batches):
+        best = pd.DataFrame({"query": [], "neg": [], "id": [], "depth": []})
+        for batch in batches:
+            v = np.zeros((len(batch), q.shape[1]))
+            for i, x in enumerate(batch["v"]):
+                v[i, : len(x)] = x
+            own, ids = np.stack(batch["h"]), np.array([x[0] for x in batch["ids"]])
+            scores = q @ v.T
+            for i, row in enumerate(scores):
+                top = np.argpartition(-row, params.k)[: params.k + 1] if len(row) > params.k + 1 else np.arange(len(row))
+                top = top[(v[top] != q[i]).any(1)]
+                best = [best] if isinstance(best, pd.DataFrame) else best
+                best.append(pd.DataFrame({"query": i, "neg": -row[top], "id": ids[top], "depth": common_depths(own[top], h[i], params)}))
+            best = pd.concat(best).sort_values(["query", "neg", "id"]).groupby("query").head(params.k)
+        yield best.astype({"query": "int32", "id": "int64", "depth": "int32"})
+
+    near = data.mapInPandas(run, "query int, neg double, id bigint, depth int")
+    rows = near.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("neg", "id", "depth"))), 1, params.k).alias("best")).collect()
+    found: list[list[int]] = [[] for _ in q]
+    for r in rows:
+        found[r["query"]] = [b["depth"] for b in r["best"]]
+    return found
+
+
 def _best(queries, data, params: ForestParams):
     """For each query of a group, its k + 1 best (-score, id) among the rows with its prefix."""
     import pandas as pd
@@ -138,7 +189,8 @@ def _best(queries, data, params: ForestParams):
     v, q = pad(data["v"]), pad(queries["v"])
     shift = params.bits - queries["level"].to_numpy()
     low = queries["h"].to_numpy() >> shift << shift
-    first, last = np.searchsorted(sorted_h, low), np.searchsorted(sorted_h, low + (np.int64(1) << np.minimum(shift, 62)), "left")
+    # the prefix's last hash, not the next prefix's first one: past the prefix of ones that is no long any more
+    first, last = np.searchsorted(sorted_h, low), np.searchsorted(sorted_h, low | ((np.int64(1) << np.minimum(shift, 62)) - 1), "right")
     last = np.where(shift >= params.bits, len(v), last)
     out = []
     for at in range(0, len(q), 256):
@@ -176,7 +228,12 @@ def search(vectors: DataFrame, queries: DataFrame, params: ForestParams = Forest
     table = each.groupBy("tree", F.shiftright("h", shift).alias("prefix")).count().toPandas()
     counts = np.zeros((params.trees, 1 << params.route_bits), np.int64)
     counts[table["tree"], table["prefix"]] = table["count"]
-    sent = vectors.sparkSession.sparkContext.broadcast(Router(counts, params))
+    router, once = Router(counts, params), asked.groupBy("query").agg(F.first("v").alias("v"))
+    if params.candidates <= counts.sum():
+        sample = [r["v"] for r in once.orderBy("query").limit(params.sampled).collect()]
+        q, h = np.array([v + [0.0] * (dimension - len(v)) for v in sample]), hashes(sample, None, dimension, params)
+        router.widen(h, true_depths(data, q, h, params))
+    sent = vectors.sparkSession.sparkContext.broadcast(router)
 
     def deal(batch: dict) -> dict:
         router, out = sent.value, {name: [] for name in ("tree", "leaf", "part", "h", "v", "ids")}
@@ -199,7 +256,6 @@ def search(vectors: DataFrame, queries: DataFrame, params: ForestParams = Forest
 
     group = ["tree", "leaf", "part"]
     rows = map_lists(data, deal, "tree int, leaf int, part int, h bigint, v array<double>, ids array<bigint>")
-    once = asked.groupBy("query").agg(F.first("v").alias("v"))
     probes = map_lists(_hashed(once, None, dimension, params, "query", "bigint"), ask, "tree int, leaf int, part int, h bigint, v array<double>, query bigint, level int")
     best = probes.groupBy(*group).cogroup(rows.groupBy(*group)).applyInPandas(lambda a, b: _best(a, b, params), "query bigint, best array<struct<neg:double,id:bigint>>")
     merged = best.groupBy("query").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, params.k + 1).alias("best"))

@@ -88,6 +88,23 @@ def test_neighbours(spark):
     assert search(few.where("id > 5"), few).count() == 0
 
 
+def test_neighbours_without_clusters_keep_their_recall(spark):
+    """Far more rows than candidates, and no direction in common."""
+    from lexmill.llm.neighbours import ForestParams, search
+
+    x = np.random.default_rng(8).standard_normal((4000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<double>")
+    got = defaultdict(set)
+    for r in search(df, df.where("id % 20 = 0"), ForestParams(k=10, trees=6, leaf_rows=256, candidates=500, route_bits=8)).collect():
+        got[r.query_id].add(r.vec_id)
+    right = 0
+    for i in range(0, len(x), 20):
+        scores = x @ x[i]
+        scores[i] = -np.inf
+        right += len(got[i] & set(np.argsort(-scores)[:10].tolist()))
+    assert right >= 0.9 * 10 * 200
+
+
 def test_chat_windows(spark):
     from lexmill.llm.chat import CONTROLS, ChatParams, chat_windows, read_back
 
