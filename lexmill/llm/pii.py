@@ -2,10 +2,10 @@
 
 Fixed forms are leftmost non-overlapping matches of each kind; a match that fails its extra
 condition is dropped without retries. Every found value is a protected entity. The words around
-its mentions are terms; over all documents, distinct contexts of a term with an entity (copies of
-one passage count once) are set against the documents that have the term at all. A term discloses
-an entity when log2 of P(entity | term) is within disclosure_bits of certainty and enough distinct
-contexts support it; near that entity it is a span of kind "term". Redaction generalises: every
+its mentions are terms; the documents that have a term with an entity are set against the documents
+that have the term at all, copies counted on both sides. A term discloses an entity when log2 of
+P(entity | term) is within disclosure_bits of certainty and enough documents support it; near that
+entity it is a span of kind "term". Redaction generalises: every
 span gives way to the name of its kind.
 
 What is gathered grows with the mentions of entities, and is counted in shuffles. Only a bitmap of
@@ -42,7 +42,7 @@ BITS = 1 << 20  #: cells of the bitmap of context terms
 @dataclass(frozen=True)
 class PiiParams:
     window: int = 48  #: code points before and after a mention whose words are its terms
-    least_contexts: int = 3  #: distinct contexts that a term and an entity must share
+    least_contexts: int = 3  #: documents that must have a term with an entity
     disclosure_bits: float = 1.0  #: log2(1 / P(entity | term)) must not be above this
 
 
@@ -130,15 +130,10 @@ def scanned(docs: DataFrame, window: int) -> DataFrame:
     return map_lists(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text"), scan, SCHEMA)
 
 
-def context_pairs(found: DataFrame, least: int) -> DataFrame:
-    """(entity, term, contexts) with at least least distinct contexts.
-
-    First the distinct contexts, so that a passage copied often is one row; then a count that is
-    summed before it is shuffled.
-    """
-    each = found.select(F.explode("mentions").alias("m")).select("m.entity", "m.context", F.array_sort(F.array_distinct(F.transform("m.terms", lambda t: t["term"]))).alias("terms"))
-    once = each.groupBy("entity", "context").agg(F.min("terms").alias("terms"))
-    return once.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= least)
+def entity_pairs(found: DataFrame, least: int) -> DataFrame:
+    """(entity, term, together) for what at least least documents have together; a document counts once, and so does each copy."""
+    pairs = F.array_distinct(F.flatten(F.transform("mentions", lambda m: F.transform(m["terms"], lambda t: F.struct(m["entity"].alias("entity"), t["term"].alias("term"))))))
+    return found.select(F.explode(pairs).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("together")).where(F.col("together") >= least)
 
 
 def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -166,10 +161,9 @@ def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def disclosures(docs: DataFrame, found: DataFrame, params: PiiParams) -> DataFrame:
     """(key, terms): the term spans of the documents that have any."""
-    pairs = written(context_pairs(found, params.least_contexts), "pii-pairs")
+    pairs = written(entity_pairs(found, params.least_contexts), "pii-pairs")
     documents = term_documents(docs, pairs.select("term").distinct())
-    # distinct contexts over documents with the term bounds P(entity | term) from below: copies only lower it
-    telling = pairs.join(documents, "term").where(F.log2(F.col("documents") / F.col("contexts")) <= params.disclosure_bits)
+    telling = pairs.join(documents, "term").where(F.log2(F.col("documents") / F.col("together")) <= params.disclosure_bits)
     near = found.where(F.size("mentions") > 0).select("key", F.explode("mentions").alias("m")).select("key", "m.entity", F.explode("m.terms").alias("t")).select("key", "entity", "t.*").distinct()
     spans = near.join(telling.select("entity", "term"), ["entity", "term"], "left_semi").select("key", "start", "end").distinct()
     span = F.struct(F.lit(KINDS.index("term")).alias("rank"), "start", "end")

@@ -249,6 +249,20 @@ def test_pii_terms_and_redaction(spark, docs, rows, empty):
     assert redact(empty).count() == 0 and pii_spans(empty).count() == 0
 
 
+def test_pii_terms_of_copied_documents(spark):
+    """A term beside one entity only is certain of it, however often its documents are copied."""
+    from lexmill.llm.pii import pii_spans
+
+    texts = [f"note {w} Zorbalina wrote to zed@corp.example about {w}{w}" for w in ("rain", "snow", "wind")] + ["here Quendolin has ann@corp.example to reach"]
+    rows = [(10 * c + i, t) for i, t in enumerate(texts) for c in range(4)]
+    rows += [(100 + i, f"they wrote a note here about what has come to reach number {i}") for i in range(40)]
+    got = {r.doc_id: r.spans for r in pii_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, t in rows[:16]:
+        start = t.index("Zorbalina" if "Zorbalina" in t else "Quendolin")
+        assert f"term:{start}:{start + 9}" in got[i]
+    assert all(got[i] == "" for i, _ in rows[16:])
+
+
 def test_sentencepiece_is_the_library_id_for_id(docs, rows, empty):
     import random
 
