@@ -1,15 +1,16 @@
 """Personal data: fixed forms, and terms that reveal them by co-occurrence.
 
 Fixed forms are leftmost non-overlapping matches of each kind; a match that fails its extra
-condition is dropped without retries. Every found value is a protected entity. The words around
-its mentions are terms; the documents that have a term with an entity are set against the documents
-that have the term at all, copies counted on both sides. A term discloses an entity when log2 of
-P(entity | term) is within disclosure_bits of certainty and enough documents support it; near that
-entity it is a span of kind "term". Redaction generalises: every
-span gives way to the name of its kind.
+condition is dropped without retries. Every found value is a protected entity. All words of a
+document outside fixed forms are its terms; the documents that have a term and an entity are set
+against the documents that have the term at all, copies counted on both sides. A term discloses an
+entity when log2 of P(entity | term) is within disclosure_bits of certainty and enough documents
+support it; then every occurrence of it in any document is a span of kind "term". Redaction
+generalises: every span gives way to the name of its kind.
 
-What is gathered grows with the mentions of entities, and is counted in shuffles. Only a bitmap of
-fixed size is sent to all tasks, to leave out words that no context has.
+What is gathered grows with the documents that hold entities, and is counted in shuffles. Only
+bitmaps of fixed size are sent to all tasks, to leave out early what an exact count or join leaves
+out after them.
 
 Defined results: null and empty texts have no spans and stay as they are; repeated rows are
 repeated; overlapping spans are redacted as one, under the first one's name.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
 
@@ -36,12 +38,13 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 WORD = re.compile(r"[^\W\d_]{3,}")
-BITS = 1 << 20  #: cells of the bitmap of context terms
+BITS = 1 << 20  #: cells of the bitmap of terms
+TELLING_BITS, TELLING_CELLS = 23, 4  #: of the bitmap of disclosing terms: cells (log2), cells for each term
+SALTS = 32  #: parts among which the occurrences of one term are joined
 
 
 @dataclass(frozen=True)
 class PiiParams:
-    window: int = 48  #: code points before and after a mention whose words are its terms
     least_contexts: int = 3  #: documents that must have a term with an entity
     disclosure_bits: float = 1.0  #: log2(1 / P(entity | term)) must not be above this
 
@@ -88,33 +91,32 @@ def term_hash(term: str) -> int:
     return int.from_bytes(hashlib.blake2b(term.encode(), digest_size=8).digest(), "big", signed=True)
 
 
-def mentions(text: str, base: list[tuple[str, int, int]], window: int) -> list[dict]:
-    """For each base span: the entity, a hash of its context, and the terms around it."""
-    inside = [(s, e) for _, s, e in base]
+def outside(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of the words that do not touch a base span."""
+    starts, ends = [], []
+    for _, start, end in sorted(base, key=lambda s: s[1]):
+        starts.append(start)
+        ends.append(max(end, ends[-1] if ends else 0))
     found = []
-    for kind, start, end in base:
-        low, high = max(0, start - window), min(len(text), end + window)
-        around = text[low:start] + "\0" + text[end:high]
-        terms = []
-        for m in WORD.finditer(text, low, high):
-            cut = (m.start() == low and low and text[low - 1].isalpha()) or (m.end() == high and high < len(text) and text[high].isalpha())
-            if not cut and not any(s < m.end() and m.start() < e for s, e in inside):
-                terms.append({"term": term_hash(m.group().lower()), "start": m.start(), "end": m.end()})
-        found.append({"entity": term_hash(f"{kind}:{text[start:end].lower()}"), "context": term_hash(around), "terms": terms})
+    for m in WORD.finditer(text):
+        before = bisect_left(starts, m.end())
+        if not before or ends[before - 1] <= m.start():
+            found.append((m.group().lower(), m.start(), m.end()))
     return found
 
 
-SCHEMA = (
-    "doc_id bigint, key bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base array<struct<rank:int,start:bigint,end:bigint>>,"
-    "mentions array<struct<entity:bigint,context:bigint,terms:array<struct<term:bigint,start:bigint,end:bigint>>>>"
-)
+def terms_of(text: str, base: list[tuple[str, int, int]]) -> set[str]:
+    return {w for w, _, _ in outside(text, base)} if base else {w.lower() for w in set(WORD.findall(text))}
 
 
-def scanned(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, key (a hash of id and text, the same for repeated rows), base counts, digest and spans, mentions."""
+SCHEMA = "doc_id bigint, key bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base array<struct<rank:int,start:bigint,end:bigint>>, entities array<bigint>, terms array<bigint>"
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """doc_id, key (a hash of id and text, the same for repeated rows), base counts, digest and spans, entities, and terms if there are entities."""
 
     def scan(batch: dict) -> dict:
-        out = {name: [] for name in ("doc_id", "key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "mentions")}
+        out = {name: [] for name in ("doc_id", "key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "entities", "terms")}
         for doc_id, key, text in zip(batch["doc_id"], batch["key"], batch["text"]):
             base = base_spans(text or "")
             kinds = Counter(kind for kind, _, _ in base)
@@ -124,16 +126,32 @@ def scanned(docs: DataFrame, window: int) -> DataFrame:
                 out[f"n_{kind}"].append(kinds[kind])
             out["base_sha256"].append(hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest())
             out["base"].append([{"rank": KINDS.index(k), "start": s, "end": e} for k, s, e in base])
-            out["mentions"].append(mentions(text or "", base, window) if base else [])
+            out["entities"].append([term_hash(x) for x in sorted({f"{k}:{text[s:e].lower()}" for k, s, e in base})])
+            out["terms"].append([term_hash(x) for x in sorted(terms_of(text, base))] if base else [])
         return out
 
     return map_lists(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text"), scan, SCHEMA)
 
 
 def entity_pairs(found: DataFrame, least: int) -> DataFrame:
-    """(entity, term, together) for what at least least documents have together; a document counts once, and so does each copy."""
-    pairs = F.array_distinct(F.flatten(F.transform("mentions", lambda m: F.transform(m["terms"], lambda t: F.struct(m["entity"].alias("entity"), t["term"].alias("term"))))))
-    return found.select(F.explode(pairs).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("together")).where(F.col("together") >= least)
+    """(entity, term, together) for what at least least documents have together; a document counts once, and so does each copy.
+
+    Entities of fewer documents, which are most, have no such pair. A bitmap leaves them out before
+    the pairs are made; those it lets through fall to the count.
+    """
+    often = found.select(F.explode("entities").alias("entity")).groupBy("entity").count().where(F.col("count") >= least)
+    cells = bitmap(often.select(F.pmod("entity", F.lit(BITS))), BITS.bit_length() - 1)
+    sent = found.sparkSession.sparkContext.broadcast(cells)
+
+    def keep(batch: dict) -> dict:
+        bits = sent.value
+        left = [[e for e in es if bits[e % BITS >> 3] >> (e & 7) & 1] for es in batch["entities"]]
+        some = [i for i, es in enumerate(left) if es]
+        return {"entities": [left[i] for i in some], "terms": [batch["terms"][i] for i in some]}
+
+    repeated = map_lists(found.where(F.size("entities") > 0).select("entities", "terms"), keep, "entities array<bigint>, terms array<bigint>")
+    pairs = repeated.select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term"))
+    return pairs.groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= least)
 
 
 def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -146,7 +164,7 @@ def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
     def count(batch: dict) -> dict:
         bits, counts, known = sent.value, Counter(), {}
         for text in batch["text"]:
-            for w in set(WORD.findall((text or "").lower())):
+            for w in terms_of(text or "", base_spans(text or "")):
                 h = known.get(w)
                 if h is None:
                     h = known[w] = term_hash(w)
@@ -159,21 +177,57 @@ def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("documents").alias("documents")).join(terms, "term", "left_semi")
 
 
+def cells_of(h: int) -> list[int]:
+    """The cells of a term in the bitmap of disclosing terms."""
+    return [(h >> 15 * i) % (1 << TELLING_BITS) for i in range(TELLING_CELLS)]
+
+
+def occurrences(docs: DataFrame, telling: DataFrame) -> DataFrame:
+    """(key, start, end): where the terms of telling(term) stand in docs, outside base spans, once for repeated rows."""
+    cell = [F.pmod(F.shiftright("term", 15 * i), F.lit(1 << TELLING_BITS)) for i in range(TELLING_CELLS)]
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(telling.select(F.explode(F.array(*cell))), TELLING_BITS))
+
+    def find(batch: dict) -> dict:
+        bits, known, out = sent.value, {}, {"key": [], "term": [], "spans": []}
+
+        def hashed(w: str) -> int | None:
+            if w not in known:
+                h = term_hash(w)
+                known[w] = h if all(bits[c >> 3] >> (c & 7) & 1 for c in cells_of(h)) else None
+            return known[w]
+
+        for key, text in zip(batch["key"], batch["text"]):
+            text, spans = text or "", {}
+            if all(hashed(w.lower()) is None for w in set(WORD.findall(text))):
+                continue
+            for w, start, end in outside(text, base_spans(text)):
+                if (h := hashed(w)) is not None:
+                    spans.setdefault(h, []).append({"start": start, "end": end})
+            for h, places in spans.items():
+                for name, value in zip(out, (key, h, places)):
+                    out[name].append(value)
+        return out
+
+    placed = map_lists(docs.select(F.xxhash64("doc_id", "text").alias("key"), "text"), find, "key bigint, term bigint, spans array<struct<start:bigint,end:bigint>>")
+    salted = telling.select("term", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+    exact = placed.withColumn("salt", F.pmod("key", F.lit(SALTS))).join(salted, ["term", "salt"], "left_semi")
+    return exact.select("key", F.explode("spans").alias("s")).select("key", "s.start", "s.end").distinct()
+
+
 def disclosures(docs: DataFrame, found: DataFrame, params: PiiParams) -> DataFrame:
     """(key, terms): the term spans of the documents that have any."""
     pairs = written(entity_pairs(found, params.least_contexts), "pii-pairs")
     documents = term_documents(docs, pairs.select("term").distinct())
     telling = pairs.join(documents, "term").where(F.log2(F.col("documents") / F.col("together")) <= params.disclosure_bits)
-    near = found.where(F.size("mentions") > 0).select("key", F.explode("mentions").alias("m")).select("key", "m.entity", F.explode("m.terms").alias("t")).select("key", "entity", "t.*").distinct()
-    spans = near.join(telling.select("entity", "term"), ["entity", "term"], "left_semi").select("key", "start", "end").distinct()
+    spans = occurrences(docs, written(telling.select("term").distinct(), "pii-telling"))
     span = F.struct(F.lit(KINDS.index("term")).alias("rank"), "start", "end")
     return spans.groupBy("key").agg(F.array_sort(F.collect_list(span)).alias("terms"))
 
 
 def pii_spans(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
     """doc_id, base counts, base_sha256, n_term, spans and found (structs): a row for each document."""
-    found = written(scanned(docs, params.window), "pii")
-    out = found.join(disclosures(docs, found, params), "key", "left").drop("mentions", "key")
+    found = written(scanned(docs), "pii")
+    out = found.drop("entities", "terms").join(disclosures(docs, found, params), "key", "left").drop("key")
     both = F.concat("base", F.coalesce("terms", F.array().cast("array<struct<rank:int,start:bigint,end:bigint>>")))
     names = F.array(*[F.lit(k) for k in KINDS])
     text = F.transform("found", lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"].cast("string"), s["end"].cast("string")))
@@ -196,7 +250,7 @@ def redacted(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
 def redact(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
     """docs with its own columns, every span in text generalised to the name of its kind (and n_chars, if there, the new length)."""
     key, terms = clear_name(docs, "row_key"), clear_name(docs, "row_terms")
-    found = written(scanned(docs, params.window).where(F.size("mentions") > 0), "pii")
+    found = written(scanned(docs).where(F.size("entities") > 0), "pii")
     more = disclosures(docs, found, params).select(F.col("key").alias(key), F.transform("terms", lambda s: F.array(s["start"], s["end"])).alias(terms))
     joined = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(more, key, "left")
 

@@ -263,6 +263,21 @@ def test_pii_terms_of_copied_documents(spark):
     assert all(got[i] == "" for i, _ in rows[16:])
 
 
+def test_pii_terms_go_wherever_they_stand(spark):
+    from lexmill.llm.pii import pii_spans, redact
+
+    fill = " ".join(f"filler{'abcdefghij'[i % 10]} to" for i in range(40))
+    rows = [(i, f"zed@corp.example {w} {fill} note by ZORBALINA, {fill} again Zorbalina") for i, w in enumerate(["rain", "snow", "wind"])]
+    rows += [(10, f"{fill} and here zorbalina without an address"), (11, "Zorbalina@home.example wrote")]
+    rows += [(20 + i, f"{fill} note by others again number {i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in pii_spans(df).collect()}
+    for i, t in rows[:4]:
+        assert got[i].spans.split(",")[i < 3 :] == [f"term:{m.start()}:{m.end()}" for m in re.finditer("zorbalina", t, re.I)]
+    assert got[11].spans == "email:0:22" and all(got[i].n_term == 0 for i, _ in rows[5:])
+    assert not any("zorbalina" in r.text.lower() for r in redact(df).collect())
+
+
 def test_sentencepiece_is_the_library_id_for_id(docs, rows, empty):
     import random
 
