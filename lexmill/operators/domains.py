@@ -1,4 +1,4 @@
-"""A domain classifier over vectors: gold labels from tags, balanced logistic regression, isotonic calibration if it helps, abstention."""
+"""A domain classifier over vectors: gold labels from tags, balanced logistic regression, abstention. classify() does not calibrate; calibrated() is a part of its own."""
 
 from __future__ import annotations
 

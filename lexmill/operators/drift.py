@@ -1,4 +1,4 @@
-"""Semantic drift: skip-gram vectors of slices, alignment on anchors, trajectories and bootstrap intervals."""
+"""Semantic drift: skip-gram vectors of slices, alignment on anchors, trajectories. Bootstrap weights and intervals are here; no query draws them for drift."""
 
 from __future__ import annotations
 
