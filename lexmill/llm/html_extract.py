@@ -14,8 +14,12 @@ bounded (training_pages) and seeded, the fit takes seconds and the model has a f
 The text: character references are decoded, white space in a block becomes one blank, blocks are
 trimmed and joined by one line feed in page order; empty blocks vanish. A br is white space.
 
-Defined results: null or empty html has the empty text, and so has a page without main part;
-repeated rows are repeated; other columns are ignored. Nesting may be of any depth (no recursion).
+Defined results: null or empty html has the empty text, and so has a page without main part; an
+empty table has no rows; repeated rows are repeated; other columns, whatever their names, are
+ignored. Nesting may be of any depth (no recursion) and pages of any length are read whole, malformed
+ones too: every step costs time in proportion to the page (a stray end tag looks up what is open). A
+tag whose quotes run to the page's end makes the first ">" end tags from there on; one without any
+">" after it is text.
 """
 
 from __future__ import annotations
@@ -39,8 +43,13 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+ENDS_P_BUT_P = ENDS_P - {"p"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.DOTALL)
+SKIPPED = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+TOKEN = re.compile(SKIPPED + r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)(>|\Z|(?=["']))""", re.DOTALL)
+#: Once a tag's quotes have run to the page's end: the first ">" ends a tag, whatever its quotes.
+PLAIN = re.compile(SKIPPED + r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(>|\Z)", re.DOTALL)
+NUMBER = re.compile(r"&#(?=[0-9])0*+([0-9]*+)")
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 SPACE = re.compile(r"\s+")
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
@@ -52,11 +61,11 @@ TOKEN_GROUPS = {
     "side": "sidebar side aside widget widgets rail related recommended more promo complementary secondary teaser",
     "advert": "ad ads advert adverts advertisement sponsor sponsored promoted doubleclick adsense adbox banner",
     "notice": "notice cookie cookies consent gdpr alert popup modal overlay newsletter subscribe signup paywall disclaimer",
-    "reader": "comment comments commentlist disqus reply replies respond discussion reviews",
+    "reader": "comment comments commentlist disqus reply replies respond response responses discussion reviews feedback",
     "share": "share sharing social follow tools toolbar print meta tags tag byline author",
     "form": "form search login register input field contact",
     "hidden": "hidden none invisible collapse",
-    "main": "main content article post entry body story text prose page document",
+    "main": "main content article post entry body story text prose page document headline",
 }
 GROUP_OF = {t: i for i, (_, ts) in enumerate(TOKEN_GROUPS.items()) for t in ts.split()}
 TAG_GROUPS = [("nav", "menu"), ("header",), ("footer",), ("aside",), ("form", "button", "select", "input", "fieldset"), ("article",), ("main",), ("section",), ("p",), ("h1", "h2", "h3", "h4", "h5", "h6"), ("ul", "ol", "dl"), ("li", "dt", "dd"), ("table", "tr", "td", "th", "tbody"), ("div",), ("a",), tuple(sorted(SILENT)), tuple(sorted(INLINE - {"a"})), ("html", "body"), ("pre", "blockquote", "figure")]
@@ -76,15 +85,22 @@ class HtmlParams:
 class Page:
     """Parallel lists of a page's elements, parents before children; texts hang between them in page order."""
 
-    __slots__ = ("tags", "attrs", "parents", "order")
+    __slots__ = ("tags", "attrs", "parents", "order", "stack", "open", "blocks")
 
     def __init__(self, source: str):
         self.tags, self.attrs, self.parents = ["#root"], [""], [-1]
         self.order: list[tuple[int, str | None]] = []  # (element, text) or (element, None) where an element begins or ends
-        stack, at, end = [0], 0, len(source)
-        tags, order = self.tags, self.order
+        self.stack, at, end = [0], 0, len(source)
+        self.open: dict[str, list[int]] = {}  # places in the stack of the open elements of a tag
+        self.blocks = [0]  # places in the stack of the open elements that are not inline
+        stack, tags, order, token = self.stack, self.tags, self.order, TOKEN
         while at < end:
-            m = TOKEN.search(source, at)
+            m = token.search(source, at)
+            if m and m[2] and m[4] != ">":  # no end of this tag
+                if token is TOKEN:
+                    token = PLAIN
+                    continue
+                m = None
             stop = m.start() if m else end
             if stop > at:
                 order.append((stack[-1], source[at:stop]))
@@ -97,12 +113,12 @@ class Page:
                 continue
             tag = m[2].lower()
             if m[1]:
-                self._close(stack, tag)
+                self._close(tag)
                 continue
             if tag in ENDS_P:
-                self._drop(stack, {"p"}, ENDS_P - {"p"})
+                self._drop({"p"}, ENDS_P_BUT_P)
             if tag in CLOSES:
-                self._drop(stack, CLOSES[tag], SCOPE[tag])
+                self._drop(CLOSES[tag], SCOPE[tag])
             number = len(tags)
             tags.append(tag)
             self.attrs.append(m[3])
@@ -111,33 +127,39 @@ class Page:
             if tag in VOID:
                 continue
             if tag in RAW:
-                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.IGNORECASE).search(source, at)
+                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.IGNORECASE).search(source, at)
                 order.append((number, source[at : close.start()]))
                 at = close.end()
                 continue
             if m[3].endswith("/") and tag not in INLINE and tag not in ENDS_P:
                 continue
+            self.open.setdefault(tag, []).append(len(stack))
+            if tag not in INLINE:
+                self.blocks.append(len(stack))
             stack.append(number)
 
-    def _drop(self, stack: list[int], wanted: set, stop: set) -> None:
-        """End the innermost open element of wanted (and what is open in it), unless one of stop is in between."""
-        for i in range(len(stack) - 1, 0, -1):
-            tag = self.tags[stack[i]]
-            if tag in wanted:
-                self.order.append((stack[i], None))
-                del stack[i:]
-                return
-            if tag in stop:
-                return
-
-    def _close(self, stack: list[int], tag: str) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if self.tags[stack[i]] == tag:
-                self.order.append((stack[i], None))
-                del stack[i:]
-                return
-            if tag in INLINE and self.tags[stack[i]] not in INLINE:
-                return
+    def _end(self, place: int) -> None:
+        """End the open element at a place in the stack, and all that is open in it."""
+        self.order.append((self.stack[place], None))
+        for number in reversed(self.stack[place:]):
+            self.open[self.tags[number]].pop()
+        del self.stack[place:]
+        while self.blocks[-1] >= place:
+            self.blocks.pop()
+
+    def _innermost(self, tags) -> int:
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
+
+    def _drop(self, wanted: set, stop: set) -> None:
+        """End the innermost open element of wanted, unless one of stop is in between."""
+        place = self._innermost(wanted)
+        if place and place > self._innermost(stop):
+            self._end(place)
+
+    def _close(self, tag: str) -> None:
+        place = self._innermost((tag,))
+        if place and not (tag in INLINE and self.blocks[-1] > place):
+            self._end(place)
 
     def text(self, kept: np.ndarray) -> str:
         """The blocks of the kept elements."""
@@ -153,10 +175,17 @@ class Page:
             elif kept[number]:
                 parts.append(piece)
         blocks.append("".join(parts))
-        clean = (SPACE.sub(" ", entities.unescape(b)).strip() for b in blocks if b)
+        clean = (SPACE.sub(" ", decoded(b)).strip() for b in blocks if b)
         return "\n".join(b for b in clean if b)
 
 
+def decoded(text: str) -> str:
+    """Character references decoded; numbers beyond Unicode, of any length, become U+FFFD."""
+    if "&" not in text:
+        return text
+    return entities.unescape(NUMBER.sub(lambda m: f"&#{m[1] or 0}" if len(m[1]) < 8 else "&#1114112", text))
+
+
 FEATURES = 14 + len(TAG_GROUPS) + 3 * len(TOKEN_GROUPS)
 
 
@@ -373,30 +402,39 @@ def _aside(rng: random.Random, kind: str) -> str:
     return _wrap(rng, "div", ["reader"], f"<h3>{_prose(rng, 2)}</h3>" + "".join(one() for _ in range(_some(rng, 4))), 0)
 
 
+def _block(rng: random.Random, k: str) -> str:
+    """A block of the main part; k marks its elements."""
+    body, kind = _prose(rng, _some(rng, 40)), rng.random()
+    if kind < 0.58:
+        return f"<p{k}>{body}</p>"
+    if kind < 0.67:
+        return f"<p{k}><b{k}>{body}.<br><p{k}>{_prose(rng, 20)}</p>"
+    if kind < 0.73:
+        return f"<{(h := rng.choice(['h2', 'h2', 'h3']))}{k}>{_prose(rng, 4)}</{h}>"
+    if kind < 0.79:
+        return f"<ul{k}>" + "".join(f"<li{k}>{_prose(rng, _some(rng, 8))}</li>" for _ in range(rng.randint(1, 6))) + "</ul>"
+    if kind < 0.83:
+        return f"<blockquote{k}>{body}</blockquote>"
+    if kind < 0.86:
+        return f"<table{k}>" + "".join(f"<tr{k}><td{k}>{_prose(rng, 2)}</td><td{k}>{_prose(rng, 1)}</td></tr>" for _ in range(rng.randint(1, 5))) + "</table>"
+    if kind < 0.9:
+        return f"<p{k}>{_prose(rng, 9)} <a{k} href='/y'>{_prose(rng, 2)}</a> {_prose(rng, 9)}</p>"
+    if kind < 0.92:
+        return f"<dl{k}>" + "".join(f"<dt{k}>{_prose(rng, 2)}</dt><dd{k}>{_prose(rng, _some(rng, 9))}</dd>" for _ in range(rng.randint(1, 4))) + "</dl>"
+    if kind < 0.94:
+        return f"<pre{k}>{body}</pre>"
+    if kind < 0.97:
+        return f"<figure{k}><img src='/i.png'><figcaption{k}>{_prose(rng, _some(rng, 8))}</figcaption></figure>"
+    return f"<div{k}>{body}</div>"
+
+
 def _main(rng: random.Random) -> str:
     k = f" {MAIN_MARK}"
     parts = [f"<h1{k}>{_prose(rng, _some(rng, 7))}</h1>"] if rng.random() < 0.8 else []
-    if rng.random() < 0.15:
-        parts = [f"<header{k}>{''.join(parts)}</header>"] if parts else []
-    for _ in range(_some(rng, 5)):
-        body = _prose(rng, _some(rng, 40))
-        kind = rng.random()
-        if kind < 0.62:
-            parts.append(f"<p{k}>{body}</p>")
-        elif kind < 0.72:
-            parts.append(f"<p{k}><b{k}>{body}.<br><p{k}>{_prose(rng, 20)}</p>")
-        elif kind < 0.78:
-            parts.append(f"<h2{k}>{_prose(rng, 4)}</h2>")
-        elif kind < 0.84:
-            parts.append(f"<ul{k}>" + "".join(f"<li{k}>{_prose(rng, _some(rng, 8))}</li>" for _ in range(rng.randint(1, 6))) + "</ul>")
-        elif kind < 0.88:
-            parts.append(f"<blockquote{k}>{body}</blockquote>")
-        elif kind < 0.91:
-            parts.append(f"<table{k}>" + "".join(f"<tr{k}><td{k}>{_prose(rng, 2)}</td><td{k}>{_prose(rng, 1)}</td></tr>" for _ in range(rng.randint(1, 5))) + "</table>")
-        elif kind < 0.95:
-            parts.append(f"<p{k}>{_prose(rng, 9)} <a{k} href='/y'>{_prose(rng, 2)}</a> {_prose(rng, 9)}</p>")
-        else:
-            parts.append(f"<div{k}>{body}</div>")
+    if parts and rng.random() < 0.2:
+        more = f"<p{k}>{_prose(rng, _some(rng, 9))}</p>" if rng.random() < 0.4 else ""
+        parts = [rng.choice([f"<header{k}>{parts[0]}{more}</header>", f"<header{k}>{parts[0]}</header>{more}", f"<div{k}>{parts[0]}{more}</div>"])]
+    parts += [_block(rng, k) for _ in range(_some(rng, 5))]
     for kind in ("advert", "share", "form", "reader", "sidebar", "notice"):
         if rng.random() < 0.12:
             parts.insert(len(parts) if kind == "reader" else rng.randint(min(1, len(parts)), len(parts)), _aside(rng, kind))
@@ -407,7 +445,9 @@ def _main(rng: random.Random) -> str:
     if box < 0.6:
         return f"<main{k}><article{k}>{inside}</article></main>"
     name = rng.choice(TOKEN_GROUPS["main"].split())
-    return f"<div{k} {rng.choice(['class', 'id'])}='{name}'>{inside}</div>" if box < 0.9 else f"<div{k}>{inside}</div>"
+    if box < 0.85:
+        return f"<div{k} {rng.choice(['class', 'id'])}='{name}'>{inside}</div>"
+    return f"<div{k}>{inside}</div>" if box < 0.95 else inside
 
 
 def training_page(rng: random.Random) -> str:
@@ -448,14 +488,19 @@ def main_texts(sources: list[str | None], trees: Trees) -> list[str]:
     return [p.text(decode(p, o)) for p, o in zip(pages, odds)]
 
 
-def extract(pages: DataFrame, params: HtmlParams = HtmlParams(), rows: int = 64) -> DataFrame:
-    """page_id, url, text and n_chars for each row of pages(page_id, url, html)."""
+def extract(pages: DataFrame, params: HtmlParams = HtmlParams(), rows: int = 64, most_chars: int = 4_000_000) -> DataFrame:
+    """page_id, url, text and n_chars for each row of pages(page_id, url, html). Up to `rows` pages and about most_chars characters are scored together."""
     sent = pages.sparkSession.sparkContext.broadcast(model(params))
 
     def run(batch: dict) -> dict:
-        texts = []
-        for at in range(0, len(batch["html"]), rows):
-            texts += main_texts(batch["html"][at : at + rows], sent.value)
+        texts, part, size = [], [], 0
+        for source in batch["html"]:
+            if part and (len(part) == rows or size + len(source or "") > most_chars):
+                texts += main_texts(part, sent.value)
+                part, size = [], 0
+            part.append(source)
+            size += len(source or "")
+        texts += main_texts(part, sent.value)
         return {"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]}
 
     return map_lists(pages.select("page_id", "url", "html"), run, "page_id bigint, url string, text string, n_chars bigint")

@@ -54,6 +54,31 @@ def test_decoding_is_the_best_consistent_labelling():
         assert np.isclose(score(decode(page, odds)), max(map(score, fits)))
 
 
+def test_pages_of_other_layouts_and_odd_tables(spark):
+    from lexmill.llm.html_extract import Page, extract, main_texts, model
+
+    body = "word other text. " * 40
+    page = f"<body><nav><a href=/>x</a></nav><article><header><h1>Head line here</h1></header><p>{body}</p></article><section id='responses'><p>nice article thanks</p></section></body>"
+    assert main_texts([page], model()) == [f"Head line here\n{body.strip()}"]
+    schema = "page_id bigint, url string, html string, text string, n_chars string"
+    got = extract(spark.createDataFrame([(1, "u", f"<article><p>{body}&#65;&#{'9' * 5000};&#00000000000066;</p></article>", "clash", "clash")], schema)).collect()
+    assert got[0].text == f"{body}A\ufffdB" and extract(spark.createDataFrame([], schema)).count() == 0
+    assert Page("<p>a<table><tr><td>b<td>c<tr><td>d</table></section><b>e</i></b>").tags == ["#root", "p", "table", "tr", "td", "td", "tr", "td", "b"]
+
+
+def test_hostile_pages_take_time_in_proportion():
+    import time
+
+    from lexmill.llm.html_extract import main_texts, model
+
+    trees, n = model(), 60_000
+    hostile = ['<a "' * n, "<a x" * n, '<a x=">"' * n, "<div>" * n + "</section>" * n, "<b>" * n + "</i>" * n, "<p>" + "<b>" * n + "<hr>" * n, "<li><ul>" + "<b>" * n + "<li></li>" * n, "<script>" + "</script " * n, "<p>&#" + "9" * 10 * n]
+    for page in hostile:
+        began = time.process_time()
+        main_texts([page], trees)
+        assert time.process_time() - began < 30, page[:20]
+
+
 def _exact(vectors, queries, k):
     out = {}
     for q, x in queries.items():
