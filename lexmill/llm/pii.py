@@ -12,8 +12,10 @@ What is gathered grows with the documents that hold entities, and is counted in
 bitmaps of fixed size are sent to all tasks, to leave out early what an exact count or join leaves
 out after them.
 
-Defined results: null and empty texts have no spans and stay as they are; repeated rows are
-repeated; overlapping spans are redacted as one, under the first one's name.
+Defined results: null and empty texts have no spans and stay as they are, and an empty table has no
+rows; texts of any length, with numbers of any length in them, are scanned whole; repeated rows are
+repeated; overlapping spans are redacted as one, under the first one's name; other columns stay
+(redact) or are ignored (pii_spans), whatever their names.
 """
 
 from __future__ import annotations
@@ -75,7 +77,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind as listed, then start."""
     found = [("email", *s) for s in emails(text)]
     if DIGIT.search(text):
-        found += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.group().split("."))]
+        found += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p) < 4 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m.group().split(".")))]
         for m in CARD.finditer(text):
             digits = m.group().replace(" ", "").replace("-", "")
             if 16 <= len(digits) <= 19 and luhn(digits):
