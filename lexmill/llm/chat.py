@@ -1,18 +1,22 @@
 """Chat formatting in budgeted windows, as DataFrame expressions.
 
-Prefix sums of the turns' tokens cut a conversation into spans of whole turns: a turn belongs
-to the span in whose stretch of the budget it begins. Every span becomes one training text. A
-later span repeats the conversation's leading system turn and the last few turns before it, for
-context only: what is repeated carries no loss. Loss falls on the assistant turns that are new.
+Prefix sums of the turns' tokens cut a conversation into spans of whole turns: a turn that does not
+fit in what the budget leaves opens the next span. Every span becomes one training text. A later
+span repeats the conversation's leading system turn and as many of the last few turns before it as
+the budget still holds, for context only: what is repeated carries no loss. Loss falls on the
+assistant turns that are new. Part of the budget of later spans is reserved for that history.
+
+Tokens are estimated: bytes of the text by bytes_per_token, and a fixed number for a turn's marks.
 
 Control strings inside a role or a text are broken by a backslash (and backslashes doubled), so
 that only the template's own marks stand in the output and unescape() gives the text back.
 
 Defined results: a null role or text is empty; null turns come first; rows of the same turn are
 ordered by role and text, and repeated rows are turns of their own; a null conv_id is a
-conversation like others. A turn over the budget stays whole, in a span of its own start. Other
-columns are ignored. A conversation's digests need its whole text in one row, so the text of one
-conversation must fit in a row (2 GB).
+conversation like others; an empty table has no spans. A turn over the budget stays whole, in a span
+without other new turns; a system turn over half the budget leaves half of it to the others. Only
+such spans are over the budget. Other columns, whatever their names, are ignored. A conversation's
+digests need its whole text in one row, so the text of one conversation must fit in a row (2 GB).
 """
 
 from __future__ import annotations
@@ -29,8 +33,9 @@ CONTROLS = ["<|", "[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>", "<</SYS>>"]
 
 @dataclass(frozen=True)
 class ChatParams:
-    budget: int = 1024  #: tokens of new turns in a span, system turn included
-    history: int = 2  #: turns repeated before a later span
+    budget: int = 1024  #: estimated tokens of a span, with all that it repeats
+    history: int = 2  #: turns repeated before a later span, at most
+    reserve: int = 256  #: of a later span's budget, what new turns leave to history
     bytes_per_token: int = 4
     turn_tokens: int = 4  #: what the marks of a turn cost
 
@@ -47,7 +52,7 @@ def unescape(text: Column) -> Column:
 
 
 def chat_windows(convs: DataFrame, params: ChatParams = ChatParams()) -> DataFrame:
-    """conv_id, span, formatted, n_repeated (pieces at the head that are context), loss (start and length of each target, in code points)."""
+    """conv_id, span, formatted, n_repeated (pieces at the head that are context), tokens (estimated), loss (start and length of each target, in code points)."""
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
     turns = convs.select("conv_id", "turn", empty("role").alias("role"), empty("text").alias("text"))
     conv = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
@@ -55,33 +60,31 @@ def chat_windows(convs: DataFrame, params: ChatParams = ChatParams()) -> DataFra
     cost = F.ceil(F.octet_length("text") / params.bytes_per_token) + params.turn_tokens
     turns = turns.withColumn("rn", F.row_number().over(conv)).withColumn("head", F.length(head))
     turns = turns.withColumn("piece", F.concat(head, escape(F.col("text")), F.lit(END))).withColumn("cost", cost)
-    turns = turns.withColumn("lead_in", (F.col("rn") == 1) & (F.col("role") == "system"))
-    kept = F.first(F.when(F.col("lead_in"), F.struct("piece", "cost"))).over(conv.rowsBetween(Window.unboundedPreceding, 0))
-    turns = turns.withColumn("system", kept)
-    room = F.greatest(F.lit(params.budget) - F.coalesce(F.col("system.cost"), F.lit(0)), F.lit(max(1, params.budget // 2)))
-    before = F.coalesce(F.sum(F.when(F.col("lead_in"), 0).otherwise(F.col("cost"))).over(conv.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    turns = turns.withColumn("span", F.floor(before / room))
-    turns = turns.withColumn("starts", ~F.col("span").eqNullSafe(F.lag("span").over(conv)))
-
-    ahead = range(1, params.history + 1)
-    turns = turns.withColumns({f"starts_{j}": F.lead("starts", j).over(conv) for j in ahead} | {f"span_{j}": F.lead("span", j).over(conv) for j in ahead})
-    use = lambda span, at, new, piece: F.struct(F.col(span).alias("span"), at.cast("int").alias("at"), F.lit(new).alias("new"), F.col(piece).alias("piece"))
-    uses = [use("span", F.col("rn"), True, "piece")]
-    uses += [F.when(F.col(f"starts_{j}") & ~F.col("lead_in"), use(f"span_{j}", F.col("rn"), False, "piece")) for j in ahead]
-    again = F.col("starts") & (F.col("rn") > 1) & F.col("system").isNotNull()
-    uses.append(F.when(again, use("span", F.lit(0), False, "system.piece")))
-    turns = turns.withColumn("use", F.explode(F.array_compact(F.array(*uses))))
-    turns = turns.select("conv_id", "use.*", "head", ((F.col("role") == "assistant") & F.col("use.new")).alias("target"))
-
-    inside = Window.partitionBy("conv_id", "span").orderBy("at")
-    size = F.length("piece")
-    turns = turns.withColumn("ends", F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    mark = F.struct((F.col("ends") - size + F.col("head")).alias("start"), (size - F.col("head") - len(END)).alias("length"))
-    return turns.groupBy("conv_id", "span").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), "").alias("formatted"),
-        F.count_if(~F.col("new")).alias("n_repeated"),
-        F.array_sort(F.collect_list(F.when(F.col("target"), mark))).alias("loss"),
-    )
+    turns = turns.withColumn("size", F.length("piece")).withColumn("lead_in", (F.col("rn") == 1) & (F.col("role") == "system"))
+    turns = turns.withColumn("step", F.when(F.col("lead_in"), F.lit(0).cast("bigint")).otherwise(F.col("cost")))
+    so_far = conv.rowsBetween(Window.unboundedPreceding, 0)
+    turns = turns.withColumns({"ends": F.sum("step").over(so_far), "chars": F.sum("size").over(so_far), "target": F.col("role") == "assistant"})
+    turns = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("rn", "ends", "chars", "step", "cost", "head", "size", "lead_in", "target", "piece"))).alias("t"))
+    turns = turns.withColumns({"lead": F.expr("if(t[0].lead_in, 1, 0)"), "system": F.expr("if(t[0].lead_in, t[0].cost, 0L)")})
+    turns = turns.withColumn("room", F.greatest(F.lit(params.budget) - F.col("system"), F.lit(params.budget // 2).cast("bigint")))
+    turns = turns.withColumn("later", F.greatest(F.col("room") - params.reserve, F.lit(1).cast("bigint")))
+    opened = "named_struct('starts', array_append(s.starts, s.at), 'base', x.ends - x.step, 'at', s.at + 1)"
+    fits = "x.ends - s.base <= if(size(s.starts) = 1, room, later) OR x.ends - x.step = s.base"
+    turns = turns.withColumn("starts", F.expr(f"aggregate(t, named_struct('starts', array(0), 'base', 0L, 'at', 0), (s, x) -> if({fits}, named_struct('starts', s.starts, 'base', s.base, 'at', s.at + 1), {opened}), s -> s.starts)"))
+    turns = turns.withColumn("s", F.expr("transform(starts, (a, k) -> named_struct('span', k, 'first', a, 'last', coalesce(get(starts, k + 1), size(t)) - 1))"))
+    begins = lambda at: f"(get(t, {at}).ends - get(t, {at}).step)"
+    held = f"size(filter(sequence(1, {max(params.history, 1)}), j -> s.first - j >= lead AND get(t, s.last).ends - {begins('s.first - j')} <= room))"
+    turns = turns.withColumn("s", F.expr(f"transform(s, s -> named_struct('span', s.span, 'first', s.first, 'last', s.last, 'back', if(s.span = 0 OR {params.history} = 0, 0, {held}), 'again', s.span > 0 AND lead = 1))"))
+    shift = "if(s.again, t[0].size, 0) - (get(t, s.first - s.back).chars - get(t, s.first - s.back).size)"
+    out = {
+        "span": "cast(s.span as bigint)",
+        "formatted": "concat(if(s.again, t[0].piece, ''), array_join(transform(slice(t, s.first - s.back + 1, s.last - s.first + s.back + 1), x -> x.piece), ''))",
+        "n_repeated": "cast(s.back + if(s.again, 1, 0) as bigint)",
+        "tokens": f"system + get(t, s.last).ends - {begins('s.first - s.back')}",
+        "loss": f"transform(filter(slice(t, s.first + 1, s.last - s.first + 1), x -> x.target), x -> named_struct('start', {shift} + x.chars - x.size + x.head, 'length', x.size - x.head - {len(END)}))",
+    }
+    made = ", ".join(f"'{name}', {value}" for name, value in out.items())
+    return turns.select("conv_id", F.explode(F.expr(f"transform(s, s -> named_struct({made}))")).alias("s")).select("conv_id", *[f"s.{name}" for name in out])
 
 
 def read_back(spans: DataFrame) -> DataFrame:

@@ -56,15 +56,14 @@ def op10(params: ChatParams = ChatParams()) -> str:
             out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
         return out
 
-    ahead = range(1, params.history + 1)
-    leads = ", ".join(f"lead(starts, {j}) OVER c AS starts_{j}, lead(span, {j}) OVER c AS span_{j}" for j in ahead)
-    history = " ".join(f"UNION ALL SELECT conv_id, size FROM n WHERE starts_{j} AND NOT lead_in" for j in ahead)
-    return rf"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+    history = " ".join(f"UNION ALL SELECT h.conv_id, p.size FROM h JOIN p ON p.conv_id IS NOT DISTINCT FROM h.conv_id AND p.rn = h.first - {j} WHERE NOT p.lead_in AND h.total - (p.ends - p.step) <= p.room" for j in range(1, params.history + 1))
+    return rf"""WITH RECURSIVE r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
 a AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn, length('{TURN}') + length({escaped("role")}) + length('{TEXT}') + length({escaped("text")}) + length('{END}') AS size, CAST(ceil(strlen(text) / {params.bytes_per_token}.0) AS BIGINT) + {params.turn_tokens} AS cost FROM r),
-b AS (SELECT *, rn = 1 AND role = 'system' AS lead_in FROM a), s AS (SELECT conv_id, cost AS system_cost, size AS system_size FROM b WHERE lead_in),
-m AS (SELECT b.*, system_size, greatest({params.budget} - coalesce(system_cost, 0), {max(1, params.budget // 2)}) AS room FROM b LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM b.conv_id),
-p AS (SELECT *, CAST(floor(coalesce(sum(CASE WHEN lead_in THEN 0 ELSE cost END) OVER (PARTITION BY conv_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / room) AS BIGINT) AS span FROM m),
-q AS (SELECT *, span IS DISTINCT FROM lag(span) OVER (PARTITION BY conv_id ORDER BY rn) AS starts FROM p), n AS (SELECT *, {leads} FROM q WINDOW c AS (PARTITION BY conv_id ORDER BY rn)),
-u AS (SELECT conv_id, size FROM n {history} UNION ALL SELECT conv_id, system_size FROM n WHERE starts AND rn > 1 AND system_size IS NOT NULL), z AS (SELECT conv_id, CAST(sum(size) AS BIGINT) AS formatted_chars FROM u GROUP BY 1),
+b AS (SELECT *, rn = 1 AND role = 'system' AS lead_in, CASE WHEN rn = 1 AND role = 'system' THEN 0 ELSE cost END AS step FROM a), s AS (SELECT conv_id, cost AS system_cost, size AS system_size FROM b WHERE lead_in),
+p AS (SELECT b.*, system_size, greatest({params.budget} - coalesce(system_cost, 0), {params.budget // 2}) AS room, CAST(sum(step) OVER (PARTITION BY b.conv_id ORDER BY rn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS ends FROM b LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM b.conv_id),
+g AS (SELECT conv_id, 0 AS k, CAST(1 AS BIGINT) AS first, CAST(0 AS BIGINT) AS base FROM p WHERE rn = 1
+UNION ALL SELECT g.conv_id, g.k + 1, min(p.rn), min_by(p.ends - p.step, p.rn) FROM g JOIN p ON p.conv_id IS NOT DISTINCT FROM g.conv_id AND p.rn > g.first AND p.ends - p.step <> g.base AND p.ends - g.base > CASE WHEN g.k = 0 THEN p.room ELSE greatest(p.room - {params.reserve}, 1) END GROUP BY g.conv_id, g.k),
+e AS (SELECT conv_id, k, first, coalesce(lead(first) OVER (PARTITION BY conv_id ORDER BY k) - 1, 1000000000000) AS last FROM g), h AS (SELECT e.conv_id, k, first, max(ends) AS total FROM e JOIN p ON p.conv_id IS NOT DISTINCT FROM e.conv_id AND p.rn BETWEEN first AND last WHERE k > 0 GROUP BY ALL),
+u AS (SELECT conv_id, size FROM p {history} UNION ALL SELECT h.conv_id, s.system_size FROM h JOIN s ON s.conv_id IS NOT DISTINCT FROM h.conv_id), z AS (SELECT conv_id, CAST(sum(size) AS BIGINT) AS formatted_chars FROM u GROUP BY 1),
 t AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY rn) AS said, coalesce(string_agg(text, '' ORDER BY rn) FILTER (role = 'assistant'), '') AS lost FROM b GROUP BY 1)
 SELECT t.conv_id, n_turns, sha256(said) AS turns_sha256, length(lost) AS loss_chars, sha256(lost) AS loss_sha256, formatted_chars FROM t JOIN z ON z.conv_id IS NOT DISTINCT FROM t.conv_id"""

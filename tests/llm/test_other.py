@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -142,7 +143,7 @@ def test_chat_windows(spark):
             rows.append((conv, turn, role, None if rng.random() < 0.05 else "".join(rng.choice(odd) for _ in range(rng.randint(0, 60)))))
     rows += [(50, 1, "assistant", "same")] * 2 + [(None, None, "user", "x"), (51, 0, "assistant", "long " * 20000)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id bigint, turn bigint, role string, text string, span string")
-    spans = chat_windows(df, ChatParams(budget=64)).cache()
+    spans = chat_windows(df, ChatParams(budget=64, reserve=16)).cache()
     got = {r.conv_id: r for r in read_back(spans).collect()}
     turns = defaultdict(list)
     for c, t, r, x in rows:
@@ -153,6 +154,14 @@ def test_chat_windows(spark):
         said, lost = "".join(f"{r}\n{x}\n" for _, r, x in all_), "".join(x for _, r, x in all_ if r == "assistant")
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(all_), sha(said), len(lost), sha(lost))
+    # the budget holds for whole windows, what they repeat included, but where one turn alone is over it
+    cost = lambda x: -(-len(x.encode()) // 4) + 4
+    for r in spans.collect():
+        inside = [x[len("<|turn|>") :].split("<|text|>", 1) for x in r.formatted.split("<|end|>")[:-1]]
+        plain = [re.sub(r"(?s)\\(.)", r"\1", x) for _, x in inside]
+        assert r.tokens == sum(map(cost, plain)) and len(inside) > r.n_repeated
+        alone = len(inside) - (inside[0][0] == "system") == 1
+        assert r.tokens <= 64 or alone or inside[0][0] == "system" and cost(plain[0]) > 32
     later = spans.where("span > 0 and conv_id % 2 = 1 and conv_id < 50").collect()
     assert later and all(r.formatted.startswith("<|turn|>system") and 1 <= r.n_repeated <= 3 for r in later)
     assert read_back(chat_windows(df.where("false"))).count() == 0
