@@ -5,7 +5,8 @@ more component that makes their norms equal, so that the largest inner product i
 angle). In a tree the strings are sorted arrays, split where a prefix has at most leaf_rows vectors.
 A query descends in all trees to its longest prefix and ascends in all of them together, one level
 at a time, until the prefixes hold enough vectors in sum; those are scored exactly, in double
-precision. The counts of prefixes that decide the level are a table of fixed size.
+precision. The counts of prefixes that decide the level are a table whose depth grows with the
+vectors, up to a bound.
 
 How many are enough is measured on the data at hand. A sample of the queries is held against every
 vector, and `candidates` is doubled until the prefixes hold least_recall of the sample's true
@@ -26,7 +27,7 @@ vector count once; ties go to the smaller id; no candidates, no rows.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -40,10 +41,11 @@ class ForestParams:
     k: int = 20
     trees: int = 10
     bits: int = 63
-    route_bits: int = 12  #: depth of the table of prefix counts
+    route_bits: int | None = None  #: depth of the table of prefix counts; as the number of vectors asks, if None
+    most_route_bits: int = 18  #: bounds that table, and with it what is broadcast
     leaf_rows: int = 16_384
-    candidates: int = 65_536  #: the least that the prefixes hold
-    least_recall: float = 0.9  #: of the true neighbours of sampled queries
+    candidates: int = 2_048  #: the least that the prefixes hold, before recall is measured
+    least_recall: float = 0.92  #: of the true neighbours of sampled queries
     sampled: int = 128  #: queries held against every vector
     seed: int = 11
 
@@ -223,6 +225,9 @@ def search(vectors: DataFrame, queries: DataFrame, params: ForestParams = Forest
         return vectors.sparkSession.createDataFrame([], schema)
 
     data = written(_hashed(distinct_vectors(vectors, params.k + 1), norm, dimension, params, "ids", "array<bigint>"), "forest")
+    if params.route_bits is None:
+        wanted = math.ceil(math.log2(max(2, data.count() * params.trees / params.candidates)))
+        params = replace(params, route_bits=min(wanted, params.most_route_bits))
     shift = params.bits - params.route_bits
     each = data.select(F.posexplode("h").alias("tree", "h"))
     table = each.groupBy("tree", F.shiftright("h", shift).alias("prefix")).count().toPandas()
