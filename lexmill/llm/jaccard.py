@@ -5,10 +5,13 @@ A document's tokens are the hashes of its distinct five-word shingles. Two docum
 among the first n - ceil(0.8 n) + 1 of each. Three orders are used; candidates come from the first
 and must share prefix tokens under the other two as well, before their whole sets are compared.
 
-All orders put frequent tokens last (a bitmap of fixed size says which; any bitmap is right, a good
-one keeps passages that many documents share out of the prefixes) and are pseudo-random otherwise.
+All orders put frequent tokens last (a bitmap says which; any bitmap is right, a good one keeps
+passages that many documents share out of the prefixes) and are pseudo-random otherwise. Tokens are
+counted where a task's share has them often enough, and all tokens of every 64th distinct text by
+hash are counted besides, so that a passage that is thinly spread over very many documents is found.
 If a document has enough tokens that are not frequent, its prefix is cut where a link would be
-missed with a probability under 1e-15 over the random order, as rare as a clash of token hashes.
+missed with a probability under 1e-15 over the random order, as rare as a clash of token hashes;
+with miss=0 prefixes have their full exact length.
 
 No bucket of a token is expanded into pairs. First every member is compared with its bucket's
 leader, the document with the fewest rare tokens: in a group of near copies that is the one nearest
@@ -20,7 +23,8 @@ Equal sets are one class from the start, under its smallest doc_id.
 
 Defined results: a null or empty text, or one without words, has no shingles and links with
 nothing; with fewer than five words the whole sequence is the one shingle; rows with the same
-doc_id are one document with several texts; rows without doc_id link with nothing.
+doc_id are one document with several texts; rows without doc_id link with nothing; an empty table
+has no rows. Texts of any length are read whole. Other columns stay (keep_one) or are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +42,7 @@ from lexmill.llm.common import bitmap, map_lists, written
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
+EVERY = 64  #: of so many distinct texts, one has all its tokens counted
 ORDERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -47,9 +52,9 @@ class JaccardParams:
     percent: int = 80
     frequent: int = 48  #: documents from which on a token is frequent
     local: int = 3  #: documents of a token in one task's share from which on it is counted
-    bitmap_bits: int = 25  #: log2 of the bitmap's cells
-    miss: float = 1e-15
-    filter_bits: int = 23  #: log2 of the cells of the bitmap of documents to compare
+    sampled: int = 16  #: documents of a token among every 64th from which on it is frequent, too
+    most_bits: int = 28  #: log2 of the cells of a bitmap at most; its size follows what it holds
+    miss: float = 1e-15  #: 0: exact prefixes
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
@@ -75,13 +80,16 @@ def prefix_lengths(n: int, rare: int, params: JaccardParams) -> tuple[int, int]:
     probe = n - -(-params.percent * n // 100) + 1
     index = n - -(-2 * params.percent * n // (100 + params.percent)) + 1
     gone = (100 - params.percent) / params.percent * n  # at most this many tokens are in one document alone
-    if rare > 1.2 * gone:
+    if params.miss > 0 and rare > 1.2 * gone:
         probe = min(probe, math.ceil(math.log(params.miss) / math.log(gone / rare)))
     return probe, min(index, probe)
 
 
 def surveyed(docs: DataFrame, params: JaccardParams) -> DataFrame:
-    """Rows (doc_id, n, print) of documents and rows (token, n) of tokens that are frequent in one task's share, in one pass."""
+    """Rows (doc_id, n, print) of documents and rows (token, n, m) of tokens that are frequent in one task's share or in a sampled text, in one pass.
+
+    n counts a token's texts in the share if they are many enough (else 0), m its sampled ones.
+    """
 
     def run(batch_rows: list, held: list, done: set) -> None:
         for doc_id, text in batch_rows:
@@ -90,46 +98,58 @@ def surveyed(docs: DataFrame, params: JaccardParams) -> DataFrame:
             held.append((doc_id, len(tokens), digest, None if digest in done or digest is None else tokens))
             done.add(digest)
 
-    schema = "doc_id bigint, n bigint, print binary, token bigint"
+    schema = "doc_id bigint, n bigint, print binary, token bigint, m bigint"
 
     def survey(batches):
         import pyarrow as pa
 
-        types = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("print", pa.binary()), ("token", pa.int64())])
-        parts, size, done = [], 0, set()
+        types = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("print", pa.binary()), ("token", pa.int64()), ("m", pa.int64())])
+        parts, some, size, done = [], [np.empty(0, np.uint64)], 0, set()
 
         def tokens_out():
             keys, n = np.unique(np.concatenate(parts), return_counts=True)
-            keys, n = keys[n >= params.local].view(np.int64), n[n >= params.local]
-            none = [None] * len(keys)
-            return pa.RecordBatch.from_arrays([pa.array(none, pa.int64()), pa.array(n, pa.int64()), pa.array(none, pa.binary()), pa.array(keys)], schema=types)
+            chosen, k = np.unique(np.concatenate(some), return_counts=True)
+            m = np.zeros(len(keys), np.int64)
+            m[np.searchsorted(keys, chosen)] = k
+            n[n < params.local] = 0
+            kept = (n > 0) | (m > 0)
+            none = [None] * int(kept.sum())
+            return pa.RecordBatch.from_arrays([pa.array(none, pa.int64()), pa.array(n[kept], pa.int64()), pa.array(none, pa.binary()), pa.array(keys[kept].view(np.int64)), pa.array(m[kept], pa.int64())], schema=types)
 
         for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
             held: list = []
             run(list(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())), held, done)
             new = [t for *_, t in held if t is not None]
             parts += new
+            some += [t for *_, digest, t in held if t is not None and digest[0] < 256 // EVERY]
             size += sum(map(len, new))
-            yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in held], types.field(i).type) for i in range(3)] + [pa.array([None] * len(held), pa.int64())], schema=types)
+            yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in held], types.field(i).type) for i in range(3)] + [pa.array([None] * len(held), pa.int64())] * 2, schema=types)
             if size > 3_000_000:
                 yield tokens_out()
-                parts, size = [], 0
+                parts, some, size = [], some[:1], 0
         if parts:
             yield tokens_out()
 
     return docs.select("doc_id", "text").mapInArrow(survey, schema)
 
 
+def bits_for(rows: int, params: JaccardParams) -> int:
+    """log2 of the cells of a bitmap that rows leave mostly empty, within the bound."""
+    return min(params.most_bits, max(16, math.ceil(math.log2(max(rows, 1))) + 5))
+
+
 def frequent_bitmap(survey: DataFrame, params: JaccardParams) -> bytes:
     """The bitmap of frequent tokens."""
-    tokens = survey.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= params.frequent)
-    return bitmap(tokens.select(F.pmod("token", F.lit(1 << params.bitmap_bits))), params.bitmap_bits)
+    tokens = survey.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    tokens = written(tokens.where((F.col("n") >= params.frequent) | (F.col("m") >= params.sampled)).select("token"), "frequent")
+    bits = bits_for(tokens.count(), params)
+    return bitmap(tokens.select(F.pmod("token", F.lit(1 << bits))), bits)
 
 
 def prefixes(docs: DataFrame, frequent: bytes, params: JaccardParams) -> DataFrame:
     """(doc_id, print, n, rare, index, p0, p1, p2): prefix tokens under each order; index is the smaller side's length in p0."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
-    mask = np.uint64((1 << params.bitmap_bits) - 1)
+    mask = np.uint64(8 * len(frequent) - 1)
 
     def run(batch: dict) -> dict:
         bits = np.frombuffer(sent.value, np.uint8)
@@ -164,7 +184,7 @@ def prefixes(docs: DataFrame, frequent: bytes, params: JaccardParams) -> DataFra
 
 def compared(docs: DataFrame, pairs: DataFrame, params: JaccardParams) -> DataFrame:
     """The rows of pairs(a, b) that link, by their whole sets. Only documents of pairs are read into sets."""
-    bits = params.filter_bits
+    bits = bits_for(2 * pairs.count(), params)
     cell = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b"))
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(cell("id")), bits))
@@ -264,7 +284,8 @@ def keep_one(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFr
     found = near_duplicates(docs, params)
     gone = found.where("doc_id != component_id").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    # rows without doc_id are no group: they are dealt by their text
+    rank = F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text")))
     names = docs.columns
     held = left.select(F.struct(*names).alias("row"), "doc_id", "text").withColumn("rank", F.when(F.col("doc_id").isNull(), 1).otherwise(rank))
     return held.where("rank = 1").select("row.*")
