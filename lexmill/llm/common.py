@@ -49,6 +49,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def replaced(old: DataFrame, df: DataFrame, label: str) -> DataFrame:
+    """written(df, label), after which the table that written() gave as old is deleted: for the steps of a loop."""
+    new = written(df, label)
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in old.inputFiles()}:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return new
+
+
 def clear_name(df: DataFrame, wanted: str) -> str:
     """A column name close to wanted that df does not have (names clash without regard to case)."""
     taken = {c.lower() for c in df.columns}

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import bitmap, map_lists, written
+from lexmill.llm.common import bitmap, map_lists, replaced, written
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
@@ -221,7 +221,7 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("low"))
         lower = labels.join(near, "id").select("id", "comp", F.least("comp", "low").alias("low"))
         onward = labels.select(F.col("id").alias("low"), F.col("comp").alias("root"))
-        new = written(lower.join(onward, "low", "left").select("id", F.least("low", F.coalesce("root", "low")).alias("comp"), (F.coalesce("root", "low") < F.col("comp")).alias("moved")), "labels")
+        new = replaced(labels, lower.join(onward, "low", "left").select("id", F.least("low", F.coalesce("root", "low")).alias("comp"), (F.coalesce("root", "low") < F.col("comp")).alias("moved")), "labels")
         labels = new.select("id", "comp")
         if new.where("moved").isEmpty():
             return labels

@@ -13,7 +13,8 @@ most. Within a (source, size) the copies are dealt to hash buckets and in them b
 source or size with a large share of all rows is never one task.
 
 Defined results: null text has size 0, rate 1 and no words; repeated rows are documents of their
-own; reruns agree; other columns stay (mix) or are ignored (mixture).
+own; an empty table gives no rows; texts of any length count whole; reruns agree; other columns stay
+(mix) or are ignored (mixture), whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import clear_name, words, written
+from lexmill.llm.common import clear_name, replaced, words, written
 
 
 @dataclass(frozen=True)
@@ -87,7 +88,7 @@ def balanced(hist: DataFrame, goals: DataFrame, params: MixParams = MixParams())
         moved = F.when(near, F.col("lam")).when(inside, F.col("newton")).otherwise((F.col("low2") + F.col("high2")) / 2)
         was = F.col("done")
         pick = lambda new, old: F.when(was, F.col(old)).otherwise(new)
-        state = written(step.select("key", "source_size", "target", pick(moved, "lam").alias("lam"), pick(F.col("low2"), "low").alias("low"), pick(F.col("high2"), "high").alias("high"), (was | F.coalesce(near, F.lit(True))).alias("done")), "mix-state")
+        state = replaced(state, step.select("key", "source_size", "target", pick(moved, "lam").alias("lam"), pick(F.col("low2"), "low").alias("low"), pick(F.col("high2"), "high").alias("high"), (was | F.coalesce(near, F.lit(True))).alias("done")), "mix-state")
     return state.select("key", "source_size", "target", "lam")
 
 
@@ -111,15 +112,18 @@ def rounded(rates: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     return rates.groupBy("key").applyInPandas(carry, "key string, size bigint, n bigint, rate double, all_copies bigint")
 
 
-def allotted(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
-    """docs(doc_id, text, source, ...) with struct column mix: size, source_size, target, rate, copies."""
+def keyed(docs: DataFrame, kept: list[str]) -> tuple[DataFrame, str]:
+    """docs(doc_id, text, source, ...) as a struct of the kept columns, with key, size and tie; and the struct's name."""
     whole = clear_name(docs, "whole_row")
-    buckets = max(16, math.ceil(docs.count() / params.bucket_rows))
-    tie = F.xxhash64("doc_id", "text")
-    base = docs.select(F.struct(*docs.columns).alias(whole), source_key(F.col("source")).alias("key"), size_of(F.col("text")).alias("size"), tie.alias("tie"))
+    return docs.select(F.struct(*kept).alias(whole), source_key(F.col("source")).alias("key"), size_of(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("tie")), whole
+
+
+def allotted(base: DataFrame, whole: str, params: MixParams = MixParams()) -> DataFrame:
+    """keyed() rows with struct column mix: size, source_size, target, rate, copies."""
+    buckets = max(16, math.ceil(base.count() / params.bucket_rows))
     base = base.withColumn("bucket", F.pmod("tie", F.lit(buckets)))
     cells = written(base.groupBy("key", "size", "bucket").agg(F.count("*").alias("k")), "mix-cells")
-    hist = cells.groupBy("key", "size").agg(F.sum("k").alias("n"))
+    hist = written(cells.groupBy("key", "size").agg(F.sum("k").alias("n")), "mix-sizes")
     goals = targets(hist.groupBy("key").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), params)
     solved = balanced(hist, goals, params)
     full = F.col("target") >= params.max_ratio * F.col("source_size")
@@ -138,13 +142,14 @@ def allotted(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
 
 
 def mixture(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies and taken (copies times size): a row for each document."""
-    out = allotted(docs.select("doc_id", "text", "source"), params)
-    row = out.columns[0]
+    """doc_id, source, size, source_size, target, rate, copies and taken (copies times size): a row for each document. The texts are read once."""
+    base, row = keyed(docs.select("doc_id", "text", "source"), ["doc_id", "source"])
+    out = allotted(written(base, "mix-rows"), row, params)
     return out.select(f"{row}.doc_id", f"{row}.source", "mix.*", (F.col("mix.copies") * F.col("mix.size")).alias("taken"))
 
 
 def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """docs with every row as often as the mix takes it."""
-    out = allotted(docs, params)
-    return out.where("mix.copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix.copies").cast("int")))).select(f"{out.columns[0]}.*")
+    base, row = keyed(docs, docs.columns)
+    out = allotted(base, row, params)
+    return out.where("mix.copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix.copies").cast("int")))).select(f"{row}.*")
