@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lexmill.llm.chat import CONTROLS, END, TEXT, TURN, ChatParams
-from lexmill.llm.quality import COMMON_WORDS, QualityParams
+from lexmill.llm.quality import CLASS_NAMES, COMMON_WORDS, PLAIN, QualityParams
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -30,23 +30,24 @@ def op7(params: QualityParams = QualityParams()) -> str:
     part = "CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / (p + q)) ELSE 0 END"
     cell = f"({part.format(x='p')} + {part.format(x='q')}) / 2"
     jsd = cell.replace("p + q", "z[1] + z[2]").replace("p > 0", "z[1] > 0").replace("THEN p *", "THEN z[1] *").replace("2 * p", "2 * z[1]").replace("q > 0", "z[2] > 0").replace("THEN q *", "THEN z[2] *").replace("2 * q", "2 * z[2]")
-    dist = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda z: {jsd}))"
+    dist = lambda a, b: f"sqrt(greatest(list_sum(list_transform(list_zip({a}, {b}), lambda z: {jsd})), 0))"
+    others = [f"sum(chars[{i}])" for i in range(1, len(CLASS_NAMES) + 1)]
     own = " UNION ALL ".join(f"SELECT '{lang}' AS ref, [{_quoted(ws)}] AS ws" for lang, ws in sorted(COMMON_WORDS.items()))
     return rf"""WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
 e AS (SELECT doc_id, i, hash3 FROM (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) AS hash3 FROM w WHERE len(w) >= 3)),
 d AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, hash3) AS k FROM e) WHERE k > 1),
 rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, i + unnest([0, 1, 2]) AS j FROM d) GROUP BY 1),
 ln AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
-b AS (SELECT w.doc_id, lang, w, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(text) AS len, CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS BIGINT) AS upper_,
+b AS (SELECT w.doc_id, lang, w, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(text) AS len, CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS upper_, length(regexp_replace(text, '[^0-9]+', '', 'g')) AS digit, length(regexp_replace(text, '{PLAIN}', '', 'g')) AS plain, strlen(text) - length(text) AS wide,
 CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words FROM w JOIN ln USING (doc_id) LEFT JOIN rep ON rep.doc_id = w.doc_id),
-f AS (SELECT *, n_words < {params.least_words} OR 100 * n_repeat_words > {params.most_repeat_percent} * n_words AS base_failed, [CAST(len - word_chars AS DOUBLE), n_symbols, upper_, word_chars - n_symbols - upper_] AS chars, list_transform(list_filter(w, lambda x: x IN ({_quoted(forms)})), lambda x: lower(x)) AS common FROM b),
+f AS (SELECT *, n_words < {params.least_words} OR 100 * n_repeat_words > {params.most_repeat_percent} * n_words AS base_failed, [CAST(len - word_chars AS DOUBLE), n_symbols, upper_, digit, plain - n_symbols - upper_ - digit, wide, word_chars - plain] AS chars, list_transform(list_filter(w, lambda x: x IN ({_quoted(forms)})), lambda x: lower(x)) AS common FROM b),
 refs AS ({own}), h AS (SELECT f.*, ref, list_transform(ws, lambda c: CAST(len(list_filter(common, lambda x: x = c)) AS DOUBLE)) AS cw FROM f JOIN refs ON lang IS NULL OR lang = ref),
-sums AS (SELECT ref, i, sum(cw[i]) AS c FROM (SELECT ref, cw, unnest(range(1, len(cw) + 1)) AS i FROM h WHERE lang = ref AND n_words >= {params.least_words}) GROUP BY 1, 2), tot AS (SELECT ref, sum(n_words)::DOUBLE AS n, [sum(chars[1]), sum(chars[2]), sum(chars[3]), sum(chars[4])] AS cs FROM h WHERE lang = ref AND n_words >= {params.least_words} GROUP BY 1),
+sums AS (SELECT ref, i, sum(cw[i]) AS c FROM (SELECT ref, cw, unnest(range(1, len(cw) + 1)) AS i FROM h WHERE lang = ref AND n_words >= {params.least_words}) GROUP BY 1, 2), tot AS (SELECT ref, sum(n_words)::DOUBLE AS n, [{", ".join(others)}] AS cs FROM h WHERE lang = ref AND n_words >= {params.least_words} GROUP BY 1),
 q AS (SELECT tot.ref, list_transform(any_value(cs), lambda x: x / list_sum(any_value(cs))) AS qc, list(c / n ORDER BY i) AS qw FROM tot JOIN sums USING (ref) GROUP BY tot.ref),
-p AS (SELECT doc_id, list_transform(chars, lambda x: x / greatest(len, 1)) AS pc, qc, list_transform(cw, lambda x: x / greatest(n_words, 1)) AS pw, qw FROM h JOIN q USING (ref)),
-j AS (SELECT doc_id, min({dist("pc", "qc")}) AS cj, min({dist("list_append(pw, 1 - list_sum(pw))", "list_append(qw, 1 - list_sum(qw))")}) AS wj FROM p GROUP BY 1)
-SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, round(cj, 6) AS char_jsd, round(wj, 6) AS word_jsd, base_failed,
-NOT base_failed AND NOT coalesce((n_words >= {params.min_words} AND cj > {params.char_limit}) OR (n_words >= {params.min_common_words} AND wj > {params.word_limit}), false) AS kept FROM f LEFT JOIN j ON j.doc_id = f.doc_id"""
+p AS (SELECT doc_id, list_transform(chars, lambda x: x / greatest(len + wide, 1)) AS pc, qc, list_transform(cw, lambda x: x / greatest(n_words, 1)) AS pw, qw FROM h JOIN q USING (ref)),
+j AS (SELECT doc_id, min({dist("pc", "qc")}) AS cj, min({dist("[list_sum(pw), 1 - list_sum(pw)]", "[list_sum(qw), 1 - list_sum(qw)]")}) AS sj, min({dist("list_append(pw, 1 - list_sum(pw))", "list_append(qw, 1 - list_sum(qw))")}) AS wj FROM p GROUP BY 1)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, round(cj, 6) AS char_jsd, round(sj, 6) AS share_jsd, round(wj, 6) AS word_jsd, base_failed,
+NOT base_failed AND NOT coalesce((n_words >= {params.min_words} AND (cj > {params.char_limit} OR sj > {params.share_limit})) OR (n_words >= {params.min_common_words} AND wj > {params.word_limit}), false) AS kept FROM f LEFT JOIN j ON j.doc_id = f.doc_id"""
 
 
 def op10(params: ChatParams = ChatParams()) -> str:

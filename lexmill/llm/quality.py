@@ -1,15 +1,17 @@
 """Quality rules by distribution divergence.
 
-Each document is held against language references: the share of its characters in a few
-classes, and the share of its words among each language's common words. The distance is the
-Jensen-Shannon divergence in bits. References are sums over the whole corpus, one row for each
-language, so the model has a fixed size. All of it is DataFrame expressions.
-
-Defined results: a null text has no words and is rejected (too short). A document whose lang is
-null is held against every reference and takes the nearest; one whose lang has no reference is
-judged by the base rules alone. The divergence rules need min_words words (character classes)
-and min_common_words words (common words), below that they do not reject. Repeated rows are
-judged alike. Other columns are kept as they are by filter_quality.
+Each document is held against language references: the share of its characters in classes, the
+share of its words among each of the language's common words, and the share of them all together.
+The distance is the Jensen-Shannon distance, the square root of the divergence in bits. References
+are sums over the whole corpus, one row for each language, so the model has a fixed size. All of it
+is DataFrame expressions.
+
+Defined results: a null or empty text has no words and is rejected (too short); an empty table has no
+rows; texts of any length are judged whole. A document whose lang is null is held against every
+reference and takes the nearest; one whose lang has no reference is judged by the base rules alone.
+The distance rules need min_words words (classes, all common words together) and min_common_words
+words (each common word), below that they do not reject. Repeated rows are judged alike. Other
+columns, whatever their names, are kept as they are by filter_quality.
 """
 
 from __future__ import annotations
@@ -30,29 +32,32 @@ COMMON_WORDS = {
 }
 ALL_COMMON = sorted({w for ws in COMMON_WORDS.values() for w in ws})
 
-#: Character classes: white space, the symbols of the base rules, capitals, and the rest (small letters, mostly).
-CLASS_NAMES = ["space", "symbol", "upper", "other"]
-NO_SYMBOLS, NO_CAPITALS = "[^#*$%&|<>]+", "[^A-Z]+"
+#: Character classes: white space, the symbols of the base rules, capitals, digits, other ASCII marks, bytes beyond
+#: the first of characters beyond ASCII, and the rest (letters, mostly).
+CLASS_NAMES = ["space", "symbol", "upper", "digit", "mark", "wide", "other"]
+PLAIN = "[^!-`{-~]+"  #: all but visible ASCII without small letters, of which a text has little
+NO_SYMBOLS, NO_CAPITALS, NO_DIGITS = "[^#*$%&|<>]+", "[^A-Z]+", "[^0-9]+"
 
 
 @dataclass(frozen=True)
 class QualityParams:
     least_words: int = 50
     most_repeat_percent: int = 50
-    char_limit: float = 0.035
-    word_limit: float = 0.14
+    char_limit: float = 0.22
+    share_limit: float = 0.14
+    word_limit: float = 0.3
     min_words: int = 50
-    min_common_words: int = 50
+    min_common_words: int = 200
 
 
-def _only(text: Column, outside: str) -> Column:
-    return F.octet_length(F.regexp_replace(text, outside, "")).cast("bigint")
+def _only(column: str, outside: str) -> Column:
+    return F.octet_length(F.regexp_replace(column, outside, "")).cast("bigint")
 
 
 def with_counts(docs: DataFrame) -> DataFrame:
     """docs(text, lang, ...) with q_words, the counts of its character classes and of its common words.
 
-    One pass over the text, with as few regular expressions as can be. q_common has the counts of
+    One regular expression goes over the text; the others go over the little that it leaves. q_common has the counts of
     the common words of the document's own language, or of ALL_COMMON if lang is null.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -61,8 +66,10 @@ def with_counts(docs: DataFrame) -> DataFrame:
     common = F.filter("q_words", lambda w: w.isin(forms))
     # each common word stands between two blanks of its own, so that removing " w " counts w
     out = out.withColumn("q_joined", F.lower(F.concat(F.lit(" "), F.array_join(common, "  "), F.lit(" "))))
-    out = out.withColumn("q_symbol", _only(text, NO_SYMBOLS)).withColumn("q_upper", _only(text, NO_CAPITALS))
-    out = out.withColumn("q_length", F.length(text).cast("bigint"))
+    out = out.withColumn("q_rest", F.regexp_replace(text, PLAIN, "")).withColumn("q_size", F.octet_length("q_rest").cast("bigint"))
+    out = out.withColumn("q_symbol", _only("q_rest", NO_SYMBOLS)).withColumn("q_upper", _only("q_rest", NO_CAPITALS)).withColumn("q_digit", _only("q_rest", NO_DIGITS))
+    out = out.withColumn("q_mark", F.col("q_size") - F.col("q_symbol") - F.col("q_upper") - F.col("q_digit"))
+    out = out.withColumn("q_length", F.length(text).cast("bigint")).withColumn("q_wide", F.octet_length(text) - F.col("q_length"))
     out = out.withColumn("n_words", F.size("q_words").cast("bigint"))
     out = out.withColumn("word_chars", F.aggregate("q_words", F.lit(0).cast("bigint"), lambda a, w: a + F.length(w)))
     sets = F.when(F.col("lang").isNull(), _marks(ALL_COMMON))
@@ -72,8 +79,8 @@ def with_counts(docs: DataFrame) -> DataFrame:
     counts = F.transform("q_marks", lambda mark: F.floor(lost(mark) / F.octet_length(mark)))
     out = out.withColumn("q_marks", sets.otherwise(F.array().cast("array<string>"))).withColumn("q_common", counts)
     out = out.withColumn("q_space", F.col("q_length") - F.col("word_chars"))
-    out = out.withColumn("q_other", F.col("word_chars") - F.col("q_symbol") - F.col("q_upper"))
-    return out.drop("q_joined", "q_marks")
+    out = out.withColumn("q_other", F.col("word_chars") - F.col("q_size"))
+    return out.drop("q_joined", "q_marks", "q_rest", "q_size")
 
 
 def _marks(own: list[str]) -> Column:
@@ -100,30 +107,31 @@ def _numbers(values: list) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def divergence(shares: Column, reference: list[float]) -> Column:
-    """Jensen-Shannon divergence in bits between an array of shares and fixed ones."""
+def distance(shares: Column, reference: list[float]) -> Column:
+    """Jensen-Shannon distance between an array of shares and fixed ones: the root of the divergence in bits."""
 
     def cell(p: Column, q: Column) -> Column:
         part = lambda x: F.when(x > 0, x * F.log2(2 * x / (p + q))).otherwise(0.0)
         return (part(p) + part(q)) / 2
 
-    return F.aggregate(F.zip_with(shares, _numbers(reference), cell), F.lit(0.0), lambda a, x: a + x)
+    return F.sqrt(F.greatest(F.aggregate(F.zip_with(shares, _numbers(reference), cell), F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
 
 
 def with_repeats(out: DataFrame) -> DataFrame:
     """Adds n_repeat_words: the words in three-word windows found twice or more.
 
     A window is a long with its hash above and its place below, so that equal windows are
-    neighbours after a sort of plain longs. The steps are columns of their own: a column that
-    is used twice is computed once.
+    neighbours after a sort of plain longs; neighbours of equal hash are the same if their words
+    are. The steps are columns of their own: a column that is used twice is computed once.
     """
-    same = lambda a, b: f"shiftrightunsigned({a} ^ {b}, q_bits) = 0"
+    place = lambda x: f"cast({x} & (shiftleft(1L, q_bits) - 1) as int)"
+    same = lambda y: f"coalesce(shiftrightunsigned(x ^ {y}, q_bits) = 0 AND slice(q_words, {place('x')} + 1, 3) = slice(q_words, {place(y)} + 1, 3), false)"
     out = out.withColumn("q_hash", F.expr("transform(q_words, w -> xxhash64(w))"))
     out = out.withColumn("q_bits", F.expr("cast(ceil(log2(size(q_hash) + 1)) as int) + 1"))
     windows = "transform(slice(q_hash, 1, greatest(size(q_hash) - 2, 0)), (x, i) -> coalesce(shiftleft(xxhash64(x, get(q_hash, i + 1), get(q_hash, i + 2)), q_bits) | cast(i as bigint), 0L))"
     out = out.withColumn("q_sorted", F.expr(f"sort_array({windows})"))
-    twins = f"filter(q_sorted, (x, i) -> {same('x', 'coalesce(get(q_sorted, i - 1), ~x)')} OR {same('x', 'coalesce(get(q_sorted, i + 1), ~x)')})"
-    out = out.withColumn("q_places", F.expr(f"sort_array(transform({twins}, x -> x & (shiftleft(1L, q_bits) - 1)))"))
+    near = " OR ".join(same(f"get(q_sorted, i {step})") for step in ("- 1", "+ 1", "- 2", "+ 2"))
+    out = out.withColumn("q_places", F.expr(f"sort_array(transform(filter(q_sorted, (x, i) -> {near}), x -> x & (shiftleft(1L, q_bits) - 1)))"))
     covered = F.expr("aggregate(transform(q_places, (x, i) -> least(3L, coalesce(get(q_places, i + 1), x + 3) - x)), 0L, (a, x) -> a + x)")
     return out.withColumn("n_repeat_words", covered)
 
@@ -139,28 +147,31 @@ def measured(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFr
 
 
 def judged(out: DataFrame, refs: dict[str, tuple[list[float], list[float]]], params: QualityParams = QualityParams()) -> DataFrame:
-    """measured() with char_jsd, word_jsd (null without a reference) and kept."""
+    """measured() with the distances char_jsd, share_jsd and word_jsd (null without a reference) and kept."""
     n = F.col("n_words")
-    chars = F.transform(F.array(*[F.col(f"q_{name}") for name in CLASS_NAMES]), lambda c: c / F.greatest(F.col("q_length"), F.lit(1)))
-    found: dict[str, list[Column]] = {"char_jsd": [], "word_jsd": []}
+    chars = F.transform(F.array(*[F.col(f"q_{name}") for name in CLASS_NAMES]), lambda c: c / F.greatest(F.col("q_length") + F.col("q_wide"), F.lit(1)))
+    found: dict[str, list[Column]] = {"char_jsd": [], "share_jsd": [], "word_jsd": []}
     for lang, (by_class, by_word) in sorted(refs.items()):
         at = _numbers([ALL_COMMON.index(w) for w in COMMON_WORDS[lang]])
         own = F.when(F.col("lang").isNull(), F.transform(at, lambda i: F.get("q_common", i))).otherwise(F.col("q_common"))
         shares = F.transform(own, lambda c: c / F.greatest(n, F.lit(1)))
-        rest = F.array(1 - F.aggregate(shares, F.lit(0.0), lambda a, x: a + x))
-        for name, value in (("char_jsd", divergence(chars, by_class)), ("word_jsd", divergence(F.concat(shares, rest), by_word))):
+        common = F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)
+        rest = F.greatest(1 - common, F.lit(0.0))
+        values = {"char_jsd": distance(chars, by_class), "share_jsd": distance(F.array(common, rest), [1 - by_word[-1], by_word[-1]]), "word_jsd": distance(F.concat(shares, F.array(rest)), by_word)}
+        for name, value in values.items():
             found[name].append(F.when(F.col("lang").isNull() | (F.col("lang") == lang), value))
     out = out.withColumns({name: F.array_min(F.array(*values)) if values else F.lit(None).cast("double") for name, values in found.items()})
-    odd = ((n >= params.min_words) & (F.col("char_jsd") > params.char_limit)) | ((n >= params.min_common_words) & (F.col("word_jsd") > params.word_limit))
+    odd = (n >= params.min_words) & ((F.col("char_jsd") > params.char_limit) | (F.col("share_jsd") > params.share_limit))
+    odd = odd | ((n >= params.min_common_words) & (F.col("word_jsd") > params.word_limit))
     out = out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False)))
     return out.drop(*[c for c in out.columns if c.startswith("q_")])
 
 
-RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_jsd", "word_jsd", "base_failed", "kept"]
+RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_jsd", "share_jsd", "word_jsd", "base_failed", "kept"]
 
 
 def quality_rules(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
-    """doc_id with counts, divergences and verdict, a row for each row of docs(doc_id, text, lang).
+    """doc_id with counts, distances and verdict, a row for each row of docs(doc_id, text, lang).
 
     The texts are read once: the counts, a small fixed number for each row, are written to the
     shared folder, and both the references and the verdicts come from there.

@@ -52,7 +52,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmill.llm.quality import quality_rules
 
     out = quality_rules(table(spark, sf_dir, "documents"))
-    return out.withColumns({c: F.round(c, 6) for c in ("char_jsd", "word_jsd")})
+    return out.withColumns({c: F.round(c, 6) for c in ("char_jsd", "share_jsd", "word_jsd")})
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
