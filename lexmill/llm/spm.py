@@ -12,9 +12,11 @@ is scored by whether it may follow: a piece follows a prefix if the prefix's las
 apart when their joined text is merged by itself. Merges are local and ordered, so exactly one
 piece can end at each place, and the path is the model's own encoding, id for id.
 
-Defined results: null and empty texts have no ids. Characters outside the vocabulary become bytes.
-Decoding gives the text back, but for the mark character itself (U+2581), which the format cannot
-tell from a blank. Repeated rows are repeated.
+Defined results: null and empty texts have no ids, and an empty table has no rows. Characters
+outside the vocabulary become bytes. Decoding gives the text back, but for the mark character itself
+(U+2581), which the format cannot tell from a blank: round_trip, the comparison of the decoded text
+with the text, is false there. A text of any length is encoded whole, in time and memory that grow
+with its length. Repeated rows are repeated; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 MARK = "▁"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+ONE = (1,)
 BPE = 2  #: the model type in the file
 NORMAL, BYTE = 1, 6  #: piece types in the file
 
@@ -39,6 +42,8 @@ class SpmParams:
     memo_words: int = 50_000  #: short words, the frequent ones, that a worker remembers between batches
     memo_letters: int = 7
     memo_pairs: int = 200_000
+    path_letters: int = 64  #: up to here the forward state holds the ids so far, so that prefixes share them; beyond, they are read back
+    batch_bytes: int = 8_000_000  #: texts encoded together, of which each distinct word is walked once
 
 
 def _fields(data: bytes):
@@ -93,11 +98,24 @@ class Vocabulary:
             raise ValueError("a piece of the vocabulary spans words")
         if len(self.byte_ids) != 256:
             raise ValueError("the vocabulary lacks bytes")
-        self.plain = {i: p for p, i in self.ids.items()}
-        self.longest = max(map(len, self.ids))
+        self.surface = {i: p.replace(MARK, " ") for p, i in self.ids.items()}
         self.params = params
         self.words: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        #: piece -> what is known of the pieces before it (last piece -> whether it may follow), and its own ids
+        self.follow: dict[str, tuple[dict[str, bool], tuple[int, ...]]] = {p: ({}, (i,)) for p, i in self.ids.items()}
+        self.pairs = 0
+        self.lengths = self._lengths()
+
+    def _lengths(self) -> dict[str, tuple[int, ...]]:
+        """The lengths of the pieces with a given ending of one to three characters, longest first."""
+        found: dict[str, set[int]] = {}
+        for p in self.ids:
+            for k in range(1, min(3, len(p)) + 1):
+                if k == 3 or k == len(p):
+                    found.setdefault(p[-k:], {1}).add(len(p))
+        for ending, sizes in found.items():
+            sizes.update(k for k in range(2, len(ending)) if ending[-k:] in self.ids)
+        return {ending: tuple(sorted(sizes, reverse=True)) for ending, sizes in found.items()}
 
     def merged(self, text: str) -> list[str]:
         """The encoding of a short text by merging the best pair, leftmost first, until none is left."""
@@ -113,70 +131,83 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def may_follow(self, left: str, right: str) -> bool:
-        known = self.pairs.get((left, right))
-        if known is None:
-            apart = [left, right] if left else [right]
-            known = (not left or left + right not in self.rank) and self.merged(left + right) == apart
-            if len(self.pairs) >= self.params.memo_pairs:
-                self.pairs.clear()
-            self.pairs[left, right] = known
+        apart = [left, right] if left else [right]
+        known = (not left or left + right not in self.rank) and self.merged(left + right) == apart
+        if self.pairs >= self.params.memo_pairs:
+            self.pairs = 0
+            for before, _ in self.follow.values():
+                before.clear()
+        self.pairs += 1
+        self.follow[right][0][left] = known
         return known
 
     def walk(self, ordered: list[str]):
         """(word, ids) for words in sorted order."""
-        starts, lasts, before = [0], [""], ""
-        rank, pairs, longest = self.rank, self.pairs, self.longest
+        starts, lasts, paths, before = [0], [""], [()], ""
+        lengths, follow, most = self.lengths, self.follow, self.params.path_letters
         for word in ordered:
             shared = 0
             for a, b in zip(before, word):
                 if a != b:
                     break
                 shared += 1
-            del starts[shared + 1 :], lasts[shared + 1 :]
+            del starts[shared + 1 :], lasts[shared + 1 :], paths[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                for start in range(end - longest if end > longest else 0, end):
+                ending = word[end - 3 if end > 3 else 0 : end]
+                for length in lengths.get(ending) or lengths.get(ending[-2:]) or ONE:
+                    start = end - length
+                    if start < 0:
+                        continue
                     piece = word[start:end]
-                    if piece in rank or end - start == 1:
-                        apart = pairs.get((lasts[start], piece))
-                        if apart or apart is None and self.may_follow(lasts[start], piece):
-                            starts.append(start)
-                            lasts.append(piece)
-                            break
-            found, end = [], len(word)
-            while end:
-                found.append(lasts[end])
+                    found = follow.get(piece)
+                    if found is None:
+                        if length > 1:
+                            continue
+                        own = self._bytes(piece)
+                    else:
+                        last = lasts[start]
+                        known, own = found
+                        apart = known.get(last)
+                        if not apart and (apart is not None or not self.may_follow(last, piece)):
+                            continue
+                    starts.append(start)
+                    lasts.append(piece)
+                    if end <= most:
+                        paths.append(paths[start] + own)
+                    break
+            end, tail = len(word), []
+            while end > most:
+                tail.append(lasts[end])
                 end = starts[end]
-            yield word, tuple(i for p in reversed(found) for i in self._piece_ids(p))
+            ids = paths[end]
+            yield word, ids if not tail else ids + tuple(chain.from_iterable(map(self._ids_of, reversed(tail))))
             before = word
 
-    def _piece_ids(self, piece: str) -> list[int]:
-        at = self.ids.get(piece)
-        return [at] if at is not None else [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
+    def _ids_of(self, piece: str) -> tuple[int, ...]:
+        return (self.ids[piece],) if piece in self.ids else self._bytes(piece)
 
-    def encode(self, texts: list[str | None]) -> tuple[list[array], list[bool]]:
-        """Ids of each text, and whether they decode to it.
+    def _bytes(self, character: str) -> tuple[int, ...]:
+        return tuple(self.byte_ids[b] for b in character.encode("utf-8", "surrogatepass"))
 
-        Pieces do not span words and every word's bytes are whole characters, so a text decodes to
-        itself if its words do: the check is made once for each distinct word.
-        """
-        split = [WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+    def encode(self, texts: list[str | None]) -> tuple[list[array], list[bool]]:
+        """Ids of each text, and whether they decode to it. Words are known by what follows their first mark."""
+        split = [_words(t) for t in texts]
         known = self.words
-        new = sorted(set(chain.from_iterable(split)).difference(known))
-        here = dict(self.walk(new))
-        odd = {w for w, ids in here.items() if self.decode_word(ids) != w}
-        keep = [w for w in here if len(w) <= self.params.memo_letters and w not in odd][: max(0, self.params.memo_words - len(known))]
-        here.update((w, known[w]) for w in set(chain.from_iterable(split)).intersection(known))
+        distinct = set(chain.from_iterable(split))
+        new = sorted(distinct.difference(known))
+        here = {w[1:]: ids for w, ids in self.walk([MARK + w for w in new])}
+        keep = [w for w in new if len(w) < self.params.memo_letters][: max(0, self.params.memo_words - len(known))]
+        here.update((w, known[w]) for w in distinct.intersection(known))
         known.update((w, here[w]) for w in keep)
         ids = [array("i", chain.from_iterable(map(here.__getitem__, words))) for words in split]
-        return ids, [not odd or odd.isdisjoint(words) for words in split]
+        return ids, [self.decode(i) == (t or "") for i, t in zip(ids, texts)]
 
-    def decode_word(self, ids: tuple[int, ...]) -> str:
+    def decode(self, ids) -> str:
+        """The text of ids, without the blank that stands for the first mark."""
         try:
-            return self.plain[ids[0]] if len(ids) == 1 else "".join([self.plain[i] for i in ids])
-        except KeyError:
-            return self.decode(ids, marked=True)
-
-    def decode(self, ids, marked: bool = False) -> str:
+            return "".join(map(self.surface.__getitem__, ids))[1:]
+        except KeyError:  # bytes
+            pass
         parts, waiting = [], bytearray()
         for i in ids:
             byte = self.byte_of.get(i)
@@ -186,10 +217,19 @@ class Vocabulary:
             if waiting:
                 parts.append(waiting.decode("utf-8", "replace"))
                 waiting = bytearray()
-            parts.append(self.pieces[i])
+            parts.append(self.pieces[i].replace(MARK, " "))
         if waiting:
             parts.append(waiting.decode("utf-8", "replace"))
-        return "".join(parts) if marked else "".join(parts)[1:].replace(MARK, " ")
+        return "".join(parts)[1:]
+
+
+def _words(text: str | None) -> list[str]:
+    """The words of the marked text, each without its first mark. A split at blanks gives them if blanks only stand alone between words."""
+    if not text:
+        return []
+    if "  " in text or MARK in text or text[0] == " " or text[-1] == " ":
+        return [w[1:] for w in WORDS.findall(MARK + text.replace(" ", MARK))]
+    return text.split(" ")
 
 
 def model_bytes(spark: SparkSession, path: str) -> bytes:
@@ -211,27 +251,38 @@ def _vocabulary(data: bytes, params: SpmParams) -> Vocabulary:
     return _LOADED[key]
 
 
-def encode(docs: DataFrame, params: SpmParams = SpmParams(), rows: int = 1000) -> DataFrame:
-    """doc_id, n_tokens, ids and round_trip (whether ids decode to the text), for each row of docs(doc_id, text)."""
+def parts_of(batch, most: int):
+    """A batch in slices of about `most` bytes of text each, one row at least."""
+    import pyarrow.compute as pc
+
+    total, first = 0, 0
+    for row, size in enumerate(pc.binary_length(batch.column("text")).to_pylist()):
+        if total and total + (size or 0) > most:
+            yield batch.slice(first, row - first)
+            total, first = 0, row
+        total += size or 0
+    if batch.num_rows > first:
+        yield batch.slice(first)
+
+
+def encode(docs: DataFrame, params: SpmParams = SpmParams()) -> DataFrame:
+    """doc_id, n_tokens, ids and round_trip (whether the decoded ids are the text), for each row of docs(doc_id, text)."""
     import pyarrow as pa
 
     data = docs.sparkSession.sparkContext.broadcast(model_bytes(docs.sparkSession, params.model_path))
 
     def run(batches):
         vocabulary = _vocabulary(data.value, params)
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                texts = part.column("text").to_pylist()
-                ids, same = vocabulary.encode(texts)
-                offsets = [0]
-                flat = array("i")
-                for i in ids:
-                    flat.extend(i)
-                    offsets.append(len(flat))
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)]))
-                columns = [part.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), lists, pa.array(same, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "round_trip"])
+        for part in (p for b in batches for p in parts_of(b, params.batch_bytes)):
+            ids, same = vocabulary.encode(part.column("text").to_pylist())
+            offsets = [0]
+            flat = array("i")
+            for i in ids:
+                flat.extend(i)
+                offsets.append(len(flat))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)]))
+            columns = [part.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), lists, pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "round_trip"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids array<int>, round_trip boolean")
 

@@ -39,6 +39,27 @@ def test_quality_divergence_rejects_odd_distributions(spark):
     assert all(got[i].kept for i in range(30) if not got[i].base_failed)
 
 
+def test_quality_rejects_numbers_and_texts_without_common_words(spark):
+    import random
+
+    from lexmill.llm.quality import quality_rules
+
+    rng = random.Random(5)
+    common = "the of and to in is that for it with from by are be this at on or you".split()
+    prose = lambda share, other: " ".join(rng.choice(common) if rng.random() < share else other() for _ in range(300))
+    word = lambda: "".join(rng.choice("aeiounrstl") for _ in range(rng.randint(3, 9)))
+    number = lambda: str(rng.randint(10, 10**6))
+    good = [(i, prose(0.3, word), "en") for i in range(60)]
+    bad = [(100, prose(0.0, word), "en"), (101, prose(0.3, number), "en"), (102, " ".join(["the", "of"] * 3 + [word() for _ in range(4)] * 1) + " " + prose(0.95, word), "en"), (103, prose(0.3, lambda: word() + "!?.;"), "en")]
+    long_ = [(200, " ".join(f"{word()} {common[i % len(common)]} {word()}" for i in range(60_000)), "en"), (201, "x" * 500_000, "en"), (202, "", None)]
+    got = {r.doc_id: r for r in quality_rules(spark.createDataFrame([(*r, "clash") for r in good + bad + long_], "doc_id bigint, text string, lang string, q_words string")).collect()}
+    assert all(got[i].kept for i in range(60)) and not any(got[i].kept for i, *_ in bad)
+    assert got[200].n_words == 180_000 and not got[201].kept and not got[202].kept
+    w = long_[0][1].split()
+    tri = Counter(zip(w, w[1:], w[2:]))
+    assert got[200].n_repeat_words == len({j for i in range(len(w) - 2) if tri[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)})
+
+
 def test_filter_quality_keeps_columns(docs, empty):
     from lexmill.llm.quality import filter_quality
 
@@ -99,6 +120,8 @@ def test_large_group_of_near_copies(spark):
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(2)
     got = {r.doc_id: r.component_id for r in near_duplicates(df, JaccardParams(frequent=10)).collect()}
     assert got == {i: root(i) for i in range(len(texts))}
+    exact = {r.doc_id: r.component_id for r in near_duplicates(df, JaccardParams(frequent=10, miss=0)).collect()}
+    assert exact == got
 
 
 def test_prefixes_hold_the_first_shared_token():
@@ -108,16 +131,17 @@ def test_prefixes_hold_the_first_shared_token():
     for n in range(1, 60):
         probe, index = prefix_lengths(n, 0, p)
         assert probe == n - math.ceil(0.8 * n - 1e-9) + 1 and 1 <= index <= probe
-    assert prefix_lengths(1000, 1000, p)[0] < 40
+    assert prefix_lengths(1000, 1000, p)[0] < 40 and prefix_lengths(1000, 1000, JaccardParams(miss=0))[0] == 201
 
 
 def test_keep_one(docs, empty):
-    from lexmill.llm.jaccard import keep_one
+    from lexmill.llm.jaccard import keep_one, near_duplicates
 
     kept = keep_one(docs)
     ids = Counter(r.doc_id for r in kept.select("doc_id").collect())
     assert kept.columns == docs.columns and max(ids.values()) == 1
     assert 7 in ids and 11 not in ids and None in ids and 1 in ids
+    assert near_duplicates(empty).count() == 0
     assert keep_one(empty).count() == 0
 
 
@@ -154,6 +178,36 @@ def test_kneser_ney_sums_to_one():
         assert np.allclose(total + unseen, 1, atol=0.02)
 
 
+def test_language_model_is_the_same_however_rows_are_dealt_and_where_it_is_cut(spark):
+    import random
+
+    import numpy as np
+
+    from lexmill.llm.langid import LangParams, codes, grams, kneser_ney, learn, predict
+
+    rng = random.Random(12)
+    letters = {"x": "abcdefgh", "y": "efghijkl", "z": "aeiounrst"}
+    text = lambda a: " ".join("".join(rng.choice(a) for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(3, 60)))
+    rows = [(i, text(letters[k]), k, "clash") for i in range(240) for k in [rng.choice("xyz")]] + [(999, "é" * 100_000, "x", "clash")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, lang_pred string")
+    model, again = learn(df), learn(df.repartition(7))
+    assert model.curve == again.curve and all((model.logs[o] == again.logs[o]).all() and (model.keys[o] == again.keys[o]).all() for o in range(1, 5))
+    # the brute force: counts of all rows, by hand
+    counts = {k: np.unique(np.concatenate([grams(codes(t)) for _, t, lang, _ in rows if lang == k]), return_counts=True) for k in "xyz"}
+    plain = kneser_ney(counts)
+    assert all(np.allclose(plain.logs[o], model.logs[o]) and np.allclose(plain.weights[o], model.weights[o]) for o in range(1, 5))
+    # cut to a tenth, it still is a distribution and mostly right
+    small = learn(df, LangParams(most_cells=4_000))
+    assert sum(len(small.keys[o]) for o in range(1, 5)) * 3 <= 4_000 < sum(len(model.keys[o]) for o in range(1, 5)) * 3
+    for start in ("ab ", "efg", "zzz"):
+        context = np.array([ord(c) for c in start], np.uint64)
+        seen = np.unique(small.keys[1]).tolist()
+        total = sum(np.exp(-small.entropies(np.append(context, np.uint64(c)))) for c in [*seen, ord("q")])
+        assert np.allclose(total, 1, atol=1e-6)
+    right = lambda m: sum(r.lang_pred == x[2] for r, x in zip(sorted(predict(df, m).collect(), key=lambda r: r.doc_id), rows))
+    assert right(model) > 0.97 * len(rows) and right(small) > 0.9 * len(rows)
+
+
 def test_mixture(docs, rows, empty):
     from lexmill.llm.mixing import mix, mixture
 
@@ -185,6 +239,30 @@ def test_mixture(docs, rows, empty):
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got)
 
 
+def test_mix_rates_are_the_entropy_balance(spark):
+    """Rates against a plain solver: exp(lam * size), cut at 3, with the lam of each source by bisection."""
+    import random
+
+    from lexmill.llm.mixing import mixture
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(["w"] * rng.choice([1, 3, 10, 40, 41, 200])), "abc"[i * i % 7 % 3]) for i in range(900)]
+    got = mixture(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    for source in "abc":
+        own = [r for r in got if r.source == source]
+        target, low, high = own[0].target, -60.0, math.log(3)
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (low, mid) if sum(min(3, math.exp(min(mid * r.size, 5))) * r.size for r in own) > target else (mid, high)
+        full = target >= 3 * own[0].source_size
+        assert all(r.rate == pytest.approx(3 if full else min(3, math.exp(low * r.size)), rel=1e-6) for r in own)
+        assert abs(sum(r.taken for r in own) - target) <= 1
+        for size in {r.size for r in own}:  # copies of one size differ by one at most, and sum up to the rate
+            copies = [r.copies for r in own if r.size == size]
+            rate = next(r.rate for r in own if r.size == size)
+            assert max(copies) - min(copies) <= 1 and abs(sum(copies) - rate * len(copies)) <= 1 + 200 / size
+
+
 def test_secrets(spark, docs, rows, empty):
     from lexmill.llm.secret_scan import ASSIGN, secret_scan
 
@@ -212,6 +290,42 @@ def test_randomness_battery():
     assert text_p(keys[0], BASE64) < text_p(keys[0][:20], BASE64)
 
 
+def test_secret_spans_match_plain_regexes():
+    import random
+
+    from lexmill.llm.secret_scan import KINDS, base_spans
+
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    access, hexa = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
+
+    def plain(t):
+        out = [(m.start(), "assign", m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
+        out += [(m.start(), "access", m.end()) for m in access.finditer(t) if len(m[0]) >= 20]
+        out += [(m.start(), "hex", m.end()) for m in hexa.finditer(t) if len(m[0]) >= 24]
+        return sorted(out, key=lambda s: (s[0], KINDS.index(s[1])))
+
+    rng = random.Random(7)
+    bits = ["password", "PassWd", "secret", "toKen", "api_key", "apikey", "\u017fecret", "to\u212aen", '"', "'", " ", ":", "=", "AKIA", "A1B2C3D4", "0a1b2c3d4e5f", "é", "x.y/z", "G", "-", "\n"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 30))) for _ in range(8000)]
+    assert all(base_spans(t) == plain(t) for t in texts)
+
+
+def test_secrets_in_very_long_tokens_and_fdr_over_all_candidates(spark):
+    import random
+
+    from lexmill.llm.secret_scan import BASE64, HEX_UP, secret_scan
+
+    rng = random.Random(3)
+    draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    rows = [(0, draw(BASE64, 60_000)), (1, draw(HEX_UP, 12_000)), (2, "g" * 1_000_000), (3, "aB1" * 100_000), (4, "token: " * 50_000), (5, None), (6, ""), (6, "")]
+    words = " ".join("SomeVeryLongIdentifierName" + draw("abcdefg", 6) for _ in range(400))
+    rows += [(10, words), (11, f"key {draw(BASE64, 24)} here")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, spans string")
+    got = {r.doc_id: r for r in secret_scan(df).collect()}
+    assert got[0].spans == "random:0:60000" and got[1].spans == "random:0:12000" and got[10].n_random == 0 and got[10].n_tested == 400
+    assert all(got[i].spans == "" for i in (2, 3, 4, 5, 6)) and len(got) == 9
+
+
 def test_pii_spans_match_plain_regexes():
     import random
 
@@ -233,6 +347,20 @@ def test_pii_spans_match_plain_regexes():
     assert all(base_spans(t) == plain(t) for t in texts)
 
 
+def test_pii_in_very_long_texts(spark):
+    from lexmill.llm.pii import base_spans, pii_spans, redact
+
+    zeros = "1.2.3." + "0" * 5000 + "1"
+    assert base_spans(zeros) == [("ip", 0, len(zeros))] and base_spans("1.2.3." + "9" * 5000) == []
+    n = 200_000
+    hostile = ["1" * n, "1." * n, "+1" + " " * n, "a@" * n, "a" * n + "@", "+1 " * n, "é" * n, "4 " * n, zeros]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*hostile, "mail a@b.example now", None, ""])], "doc_id bigint, text string, spans string")
+    got = {r.doc_id: r for r in pii_spans(df).collect()}
+    assert len(got) == 12 and got[8].n_ip == got[9].n_email == 1 and got[10].spans == got[11].spans == ""
+    clean = {r.doc_id: r.text for r in redact(df).collect()}
+    assert clean[9] == "mail <EMAIL> now" and clean[8] == "<IP>" and clean[10] is None and clean[6] == hostile[6]
+
+
 def test_pii_terms_and_redaction(spark, docs, rows, empty):
     from lexmill.llm.pii import pii_spans, redact
 
@@ -298,3 +426,18 @@ def test_sentencepiece_is_the_library_id_for_id(docs, rows, empty):
     assert Counter((r.doc_id, r.text) for r in decode(encoded).collect()) == Counter((r[0], r[1] or "") for r in rows)
     assert encoded.where("not round_trip or n_tokens != size(ids)").count() == 0 and encode(empty).count() == 0
     assert own.decode(own.encode(["a▁b"])[0][0]) == "a b"
+
+
+def test_round_trip_is_of_the_text_itself(spark):
+    import sentencepiece
+
+    from lexmill.llm.spm import Vocabulary, encode
+
+    texts = ["a▁b", "▁", " a  b ", "a\x00b\n\nc", "ab" * 4000 + "é中" * 500, "#" * 90 + "x" * 200, "kQ9z7LmPx2VbN8sRtY4wHcJ6fD1gAe3U" * 9]
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    with open(PIECES, "rb") as f:
+        data = f.read()
+    assert [list(x) for x in Vocabulary(data).encode(texts)[0]] == library.encode(texts)
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)] + [(9, None, None)], "doc_id bigint, text string, ids string")
+    got = {r.doc_id: r for r in encode(df).collect()}
+    assert [got[i].round_trip for i in range(7)] == [False, False] + [True] * 5 and (got[9].ids, got[9].round_trip) == ([], True)
