@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from itertools import product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,7 +13,10 @@ from pyspark.sql.types import StringType
 
 #: Accented Greek small letters (one code point each) and their plain letters.
 ACCENTED, PLAIN = "άέήίόύώϊϋΐΰ", "αεηιουωιυιυ"
-EDGE = ".,;:!?…·«»\"'()[]{}<>|/*#$%&-–—"
+#: Fixed value: the punctuation that goes from the edges of a token.
+EDGE = "«»\"'“”‘’()[]{}.,:;·…!?-–—/\\|<>*•%&@#~_=+"
+#: Fixed value: the same for an English key.
+ENGLISH_EDGE = " .,;:!?\"'()[]"
 
 
 def squeeze(text: Column) -> Column:
@@ -47,31 +52,59 @@ def accent_key_udf(text):
 
 
 def tokens(text: Column) -> Column:
-    """Words of a text: split at white space, edge punctuation off, lower case, empty ones out."""
-    pieces = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[ \t\n\r\x0b\x0c]+")
+    """Words of a text: split at white space, edge punctuation off, lower case, final sigma folded, accents kept, empty ones out."""
+    pieces = F.split(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ς"), F.lit("σ")), r"[ \t\n\r\x0b\x0c]+")
     return F.filter(F.transform(pieces, lambda w: F.btrim(w, F.lit(EDGE))), lambda w: w != "")
 
 
-#: Latin spellings of Greek letters, most likely first.
-GREEKLISH = {
-    "th": ["θ"], "ch": ["χ"], "ps": ["ψ"], "ks": ["ξ"], "ou": ["ου"], "mp": ["μπ"], "nt": ["ντ"],
-    "a": ["α"], "b": ["β", "μπ"], "c": ["κ"], "d": ["δ", "ντ"], "e": ["ε", "αι"], "f": ["φ"], "g": ["γ", "γκ"],
-    "h": ["η", "χ"], "i": ["ι", "η", "υ", "ει", "οι"], "j": ["τζ"], "k": ["κ"], "l": ["λ"], "m": ["μ"], "n": ["ν"],
-    "o": ["ο", "ω"], "p": ["π"], "q": ["κ"], "r": ["ρ"], "s": ["σ"], "t": ["τ"], "u": ["υ", "ου"], "w": ["ω"],
-    "x": ["ξ"], "y": ["υ", "ι"], "z": ["ζ"],
+def search_tokens(text: Column) -> Column:
+    """tokens() without accents: the words as search keys (for letters of one code point)."""
+    return F.transform(tokens(text), lambda w: F.translate(w, ACCENTED, PLAIN))
+
+
+def english_key(text: Column) -> Column:
+    """The key of an English query: lower case, blanks squeezed, punctuation off its edges."""
+    return F.btrim(squeeze(F.lower(F.coalesce(text, F.lit("")))), F.lit(ENGLISH_EDGE))
+
+
+@pandas_udf(StringType())
+def unescape_udf(text):
+    """Character references decoded; null stays null."""
+    import html
+
+    return text.astype(object).map(lambda t: html.unescape(t) if isinstance(t, str) else None)
+
+
+#: Greek readings of Latin spellings, most likely first; pairs are tried before single letters.
+GREEKLISH_PAIRS = {
+    "th": ["θ"], "ch": ["χ"], "ps": ["ψ"], "ks": ["ξ"], "ou": ["ου"],
+    "ai": ["αι", "ε", "αη"], "ei": ["ει", "ι", "η", "εη"], "oi": ["οι", "ι", "ωη", "οη", "ωι"],
+    "gg": ["γγ"], "gk": ["γκ"], "mp": ["μπ"], "nt": ["ντ"], "ts": ["τσ"], "tz": ["τζ"],
+}
+GREEKLISH_LETTERS = {
+    "a": ["α"], "b": ["β"], "g": ["γ"], "d": ["δ"], "e": ["ε", "αι"], "z": ["ζ"], "h": ["η", "ι"],
+    "i": ["ι", "η", "υ"], "k": ["κ"], "l": ["λ"], "m": ["μ"], "n": ["ν"], "x": ["ξ"], "o": ["ο", "ω"],
+    "p": ["π"], "r": ["ρ"], "s": ["σ"], "t": ["τ"], "y": ["υ", "ι"], "u": ["υ", "ου"], "f": ["φ"],
+    "w": ["ω", "ο"], "c": ["κ"], "j": ["ι"],
 }
+UNIT = re.compile("|".join(GREEKLISH_PAIRS) + "|.", re.DOTALL)
+
+
+def readings(text: str) -> list[list[str]]:
+    """For each unit of a Latin spelling its Greek readings."""
+    return [GREEKLISH_PAIRS.get(u) or GREEKLISH_LETTERS.get(u, [u]) for u in UNIT.findall(text.lower())]
+
+
+def transliterated(text: str) -> str:
+    """The most likely Greek reading of a Latin spelling."""
+    return "".join(r[0] for r in readings(text))
 
 
 def greeklish_candidates(text: str, most: int = 64) -> list[str]:
-    """Greek readings of a Latin spelling, most likely first, at most `most`."""
-    low, at, options = fold_key(text), 0, []
-    while at < len(low):
-        pair = low[at : at + 2]
-        step = 2 if pair in GREEKLISH else 1
-        options.append(GREEKLISH.get(low[at : at + step], [low[at : at + step]]))
-        at += step
-    ranked = [("", 0)]
-    for choice in options:
-        longer = [(word + c, cost + i) for word, cost in ranked for i, c in enumerate(choice)]
-        ranked = sorted(longer, key=lambda x: x[1])[:most]
-    return list(dict.fromkeys(word for word, _ in ranked))
+    """Greek readings of a Latin spelling, the most likely first, at most `most`: those that differ late come early."""
+    found: dict[str, None] = {}
+    for combination in product(*readings(text)):
+        found.setdefault("".join(combination))
+        if len(found) >= most:
+            break
+    return list(found)

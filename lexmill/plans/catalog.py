@@ -37,7 +37,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 _EDGE = tx.EDGE.replace("'", "''")
 _WS = r"[ \t\n\r\x0b\x0c]+"
-_TOKENS = f"list_filter(list_transform(regexp_split_to_array(lower(coalesce(text, '')), '{_WS}'), lambda w: trim(w, '{_EDGE}')), lambda w: w <> '')"
+_TOKENS = f"list_filter(list_transform(regexp_split_to_array(replace(lower(coalesce(text, '')), 'ς', 'σ'), '{_WS}'), lambda w: trim(w, '{_EDGE}')), lambda w: w <> '')"
 _EXPLODED = f"SELECT doc_id, lang, source, unnest({_TOKENS}) AS token FROM documents"
 
 # --- frequency ---
@@ -53,7 +53,7 @@ def token_frequency_zipf(spark, sf):
 @query(f"""WITH t AS (SELECT token, count(*) AS c FROM ({_EXPLODED}) GROUP BY token), s AS (SELECT token, c, sum(c) OVER () AS total FROM t)
 SELECT token, CAST(c AS BIGINT) AS count, round(c / total, 8) AS share FROM s WHERE c > 0.005 * total""")
 def frequency_share_cap(spark, sf):
-    counts = frequency.token_counts(_t(spark, sf, "documents")).withColumn("total", F.sum("count").over(Window.partitionBy()))
+    counts = frequency.with_total(frequency.token_counts(_t(spark, sf, "documents")))
     return counts.where(F.col("count") > frequency.SHARE_CAP * F.col("total")).select("token", "count", F.round(F.col("count") / F.col("total"), 8).alias("share"))
 
 
@@ -153,13 +153,13 @@ def by_field_topk(spark, sf):
 
 # --- keyness ---
 
-_ERFC = "(((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-x * x))"
+_ERFC = "t * exp(-x * x - 1.26551223 + t * (1.00002368 + t * (0.37409196 + t * (0.09678418 + t * (-0.18628806 + t * (0.27886807 + t * (-1.13520398 + t * (1.48851587 + t * (-0.82215223 + t * 0.17087277)))))))))"
 _KEY = f"""WITH n AS (SELECT token, CAST(count(*) FILTER (lang = 'en') AS DOUBLE) AS a, CAST(count(*) FILTER (lang = 'fr') AS DOUBLE) AS b FROM ({_EXPLODED}) WHERE lang IN ('en', 'fr') GROUP BY token),
 w AS (SELECT *, sum(a) OVER () AS c, sum(b) OVER () AS d FROM n), e AS (SELECT *, (a + b) / (c + d) AS s FROM w WHERE a + b >= 20),
 g AS (SELECT token, a, b, round(2 * (CASE WHEN a > 0 THEN a * ln(a / (c * s)) ELSE 0 END + CASE WHEN b > 0 THEN b * ln(b / (d * s)) ELSE 0 END), 6) AS g2,
-round(CASE WHEN a > 0 AND b > 0 THEN log2((a / c) / (b / d)) ELSE 0 END, 6) AS log_ratio, round(CASE WHEN a > 0 AND b > 0 THEN 1.96 * sqrt(1 / a + 1 / b) / ln(2.0) ELSE 0 END, 6) AS ci FROM e),
-x AS (SELECT *, sqrt(greatest(g2, 0) / 2) AS x FROM g), t AS (SELECT *, 1 / (1 + 0.3275911 * x) AS t FROM x), p AS (SELECT *, round({_ERFC}, 8) AS p_value FROM t),
-r AS (SELECT *, row_number() OVER (ORDER BY p_value, token) AS k, count(*) OVER () AS m FROM p), q AS (SELECT *, round(least(min(p_value * m / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0), 8) AS q_value FROM r)"""
+round(CASE WHEN a > 0 AND b > 0 THEN log2((a / c) / (b / d)) ELSE 0 END, 6) AS log_ratio, round(CASE WHEN a > 0 AND b > 0 THEN 1.96 * sqrt(1 / a + 1 / b - 1 / c - 1 / d) / ln(2.0) ELSE 0 END, 6) AS ci FROM e),
+x AS (SELECT *, sqrt(greatest(g2, 0) / 2) AS x FROM g), t AS (SELECT *, 1 / (1 + x / 2) AS t FROM x), p AS (SELECT *, round({_ERFC}, 12) AS p_value FROM t),
+r AS (SELECT *, row_number() OVER (ORDER BY p_value, token) AS k, count(*) OVER () AS m FROM p), q AS (SELECT *, round(least(min(p_value * m / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0), 10) AS q_value FROM r)"""
 _KEY_COLUMNS = "token, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, g2, log_ratio, ci, p_value, q_value"
 
 
@@ -169,13 +169,13 @@ def keyness_g2(spark, sf):
     return frequency.keyness(counts, "lang", "en", "fr", 20).select("token", "a", "b", "g2", "log_ratio", "ci", "p_value", "q_value")
 
 
-@query(f"""{_KEY}, s AS (SELECT *, CASE WHEN log_ratio >= 0 THEN 'en' ELSE 'fr' END AS side FROM q WHERE q_value <= 0.05), k2 AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY g2 DESC, token) AS place FROM s)
-SELECT {_KEY_COLUMNS}, side, CAST(place AS INT) AS place FROM k2 WHERE place <= 30""")
+@query(f"""{_KEY}, dc AS (SELECT lang, source, token, count(*) AS k FROM ({_EXPLODED}) WHERE lang IN ('en', 'fr') GROUP BY 1, 2, 3), ds AS (SELECT lang, source, sum(k) / sum(sum(k)) OVER (PARTITION BY lang) AS share FROM dc GROUP BY 1, 2),
+dt AS (SELECT lang, token, sum(k) AS total FROM dc GROUP BY 1, 2), dp AS (SELECT lang, token, round(sum(abs(coalesce(k, 0) / total - share)) / 2, 6) AS dp FROM dt JOIN ds USING (lang) LEFT JOIN dc USING (lang, source, token) GROUP BY 1, 2),
+s AS (SELECT *, CASE WHEN log_ratio > 0 THEN 'en' WHEN log_ratio < 0 THEN 'fr' END AS side FROM q WHERE q_value <= 0.05), k2 AS (SELECT s.*, dp, row_number() OVER (PARTITION BY side ORDER BY abs(log_ratio) DESC, token) AS place FROM s JOIN dp USING (token) WHERE side = lang AND dp <= 0.8)
+SELECT {_KEY_COLUMNS}, side, dp, CAST(place AS INT) AS place FROM k2 WHERE place <= 30""")
 def keyness_bh(spark, sf):
-    side = F.when(F.col("log_ratio") >= 0, "en").otherwise("fr")
-    found = keyness_g2(spark, sf).where("q_value <= 0.05").withColumn("side", side)
-    place = F.row_number().over(Window.partitionBy("side").orderBy(F.desc("g2"), "token"))
-    return found.withColumn("place", place).where("place <= 30")
+    docs = _t(spark, sf, "documents").where(F.col("lang").isin("en", "fr"))
+    return frequency.distinctive(keyness_g2(spark, sf), frequency.dispersion_by(docs, "lang", "source"), "en", "fr", "lang")
 
 
 @query(f"""WITH c AS (SELECT source, token, count(*) AS n FROM ({_EXPLODED}) GROUP BY 1, 2), s AS (SELECT source, sum(n) AS size FROM c GROUP BY 1), w AS (SELECT source, size / sum(size) OVER () AS share FROM s),
