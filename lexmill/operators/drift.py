@@ -1,7 +1,9 @@
-"""Semantic drift: skip-gram vectors of slices, alignment on anchors, trajectories. Bootstrap weights and intervals are here; no query draws them for drift."""
+"""Semantic drift: skip-gram vectors of slices, alignment on anchors, trajectories, bootstrap significance, and how much of a drift is noise."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,3 +97,92 @@ def hash_sample(rows: DataFrame, by: list[str], size: int, seed: int = 1) -> Dat
     """size rows of each group in hash order: uniform, and the same in every run."""
     order = Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), *rows.columns), *rows.columns)
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size).drop("place")
+
+
+def resampled(lines: DataFrame, replicate: int, cap: int | None = None, seed: int = 1) -> DataFrame:
+    """lines(tokens) drawn with replacement: each as often as its Poisson draw says; thinned by hash to about cap lines."""
+    share = 1.0 if cap is None else min(1.0, cap / max(1, lines.count()))
+    chosen = F.pmod(F.xxhash64(F.lit(seed), F.lit(replicate), F.lit("cap"), "tokens"), F.lit(1_000_000)) < int(1_000_000 * share)
+    drawn = bootstrap_weights(lines.where(chosen), 1, seed * 1_000_003 + replicate)
+    return drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), "weight"))).select("tokens")
+
+
+def pair_drift(first: DataFrame, last: DataFrame, floor: int = 0) -> DataFrame:
+    """token, drift between two sets of vectors(token, vector, count)."""
+    both = first.withColumn("year", F.lit(0)).unionByName(last.withColumn("year", F.lit(1))).withColumn("corpus", F.lit(""))
+    return aligned_drift(both, 0, floor).where("year = 1").select("token", "drift")
+
+
+def bootstrap_drift(first: DataFrame, last: DataFrame, replicates: int = 12, cap: int | None = None, seed: int = 1, **training) -> tuple[DataFrame, DataFrame]:
+    """(replicate, token, drift) of real pairs, and of control pairs that only differ by resampling.
+
+    first and last are slices(tokens). The loop is over replicates, each a distributed draw and a
+    training run; pair i of the real ones is first i against last i, of the control first i against
+    the next first.
+    """
+    firsts = [train(resampled(first, i, cap, seed), seed=seed + i, **training) for i in range(replicates)]
+    lasts = [train(resampled(last, replicates + i, cap, seed), seed=seed + replicates + i, **training) for i in range(replicates)]
+    real = [pair_drift(a, b).withColumn("replicate", F.lit(i)) for i, (a, b) in enumerate(zip(firsts, lasts))]
+    control = [pair_drift(a, b).withColumn("replicate", F.lit(i)) for i, (a, b) in enumerate(zip(firsts, firsts[1:] + firsts[:1]))]
+    united = lambda parts: reduce(DataFrame.unionByName, parts)
+    return united(real), united(control)
+
+
+def significance(real: DataFrame, control: DataFrame, observed: DataFrame, replicates: int, alpha: float = 0.05) -> DataFrame:
+    """token, drift (mean of the replicates), low, high, z, p_value, q_value, significant.
+
+    real and control(replicate, token, drift), observed(token, drift) of the whole slices. The
+    interval is bias-corrected around the observed drift (percentiles without one); z holds the mean
+    against the token's own control pairs, one-sided; the false discovery rate is over all tested.
+    Tokens with fewer than max(4, half the replicates) real pairs are left out, with fewer control
+    pairs untested.
+    """
+    from lexmill.functions.stats import bca_interval, with_bh
+
+    least = max(4, replicates // 2)
+    mine = real.groupBy("token").agg(F.avg("drift").alias("mean"), F.sort_array(F.collect_list("drift")).alias("all")).where(F.size("all") >= least)
+    null = control.groupBy("token").agg(F.avg("drift").alias("mu"), F.stddev("drift").alias("sd"), F.count("drift").alias("n"))
+    null = null.where((F.col("n") >= least) & (F.col("sd") > 1e-9)).drop("n")
+    joined = mine.join(observed.select("token", F.col("drift").alias("observed")), "token", "left").join(null, "token", "left")
+
+    @F.pandas_udf("low double, high double, p_value double")
+    def judge(mean, replicated, at, mu, sd):
+        import math
+
+        import pandas as pd
+
+        rows = []
+        for m, r, o, u, s in zip(mean, replicated, at, mu, sd):
+            low, high = bca_interval(o, list(r), []) if o == o and o is not None else np.percentile(r, [2.5, 97.5])
+            p = 0.5 * math.erfc((m - u) / s / math.sqrt(2)) if s == s and s is not None else None
+            rows.append((float(low), float(high), p))
+        return pd.DataFrame(rows, columns=["low", "high", "p_value"])
+
+    judged = joined.withColumn("j", judge("mean", "all", "observed", "mu", "sd")).select("token", F.col("mean").alias("drift"), "j.*", ((F.col("mean") - F.col("mu")) / F.col("sd")).alias("z"))
+    tested = with_bh(judged.where("p_value is not null"), "p_value", ["token"]).withColumn("significant", F.col("q_value") <= alpha)
+    return tested.unionByName(judged.where("p_value is null"), allowMissingColumns=True)
+
+
+def signal(real: DataFrame, noise: DataFrame, counts: DataFrame, edges: list[int]) -> DataFrame:
+    """band (least count), n, real and noise medians, noise p95, snr and the share of tokens above the noise's p95.
+
+    real and noise(token, drift): drifts between two slices, and between two disjoint halves of one.
+    """
+    floor = noise.agg(F.percentile("drift", 0.95).alias("noise_p95"))
+    band = F.lit(None).cast("int")
+    for low in sorted(edges):
+        band = F.when(F.col("count") >= low, low).otherwise(band)
+    both = real.withColumnRenamed("drift", "real").join(noise.withColumnRenamed("drift", "noise"), "token").join(counts.select("token", "count"), "token").withColumn("band", band)
+    rows = both.where("band is not null").join(F.broadcast(floor))  # one row
+    out = rows.groupBy("band").agg(F.count("*").alias("n"), F.median("real").alias("real_median"), F.median("noise").alias("noise_median"), F.first("noise_p95").alias("noise_p95"), F.avg((F.col("real") > F.col("noise_p95")).cast("int")).alias("above"))
+    return out.withColumn("snr", F.col("real_median") / F.nullif(F.col("noise_median"), F.lit(0.0)))
+
+
+def reproducibility(one: DataFrame, two: DataFrame) -> DataFrame:
+    """n, largest and mean distance between two trainings(token, vector, count) of the same lines."""
+    return pair_drift(one, two).agg(F.count("*").alias("n"), F.max(F.abs("drift")).alias("largest"), F.avg(F.abs("drift")).alias("mean"))
+
+
+def false_positives(series: list[list[float]], detector) -> float:
+    """The share of series without a change in which detector(values) finds one."""
+    return sum(detector(s) is not None for s in series) / len(series) if series else 0.0

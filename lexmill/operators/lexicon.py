@@ -23,11 +23,20 @@ def precedence_merge(rows: DataFrame, key: str, preferred: str) -> DataFrame:
     return first_by(rows, [key], F.desc(F.col("source") == preferred), F.desc("seq"), "value").select(key, "source", "value")
 
 
-def two_tier_resolve(wanted: DataFrame, index: DataFrame) -> DataFrame:
-    """wanted(surface, key) with id: the exact surface's, else the key's if only one id has it, else null."""
-    exact = index.groupBy("surface").agg(F.min("id").alias("exact_id"))
-    folded = index.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low = high").select("key", F.col("low").alias("key_id"))
-    return wanted.join(exact, "surface", "left").join(folded, "key", "left").select("surface", "key", F.coalesce("exact_id", "key_id").alias("id"))
+def two_tier_resolve(wanted: DataFrame, index: DataFrame, also: list[str] | None = None) -> DataFrame:
+    """wanted(surface, key) with id: the exact surface's, else the key's if only one id has it, else null.
+
+    also names columns, the part of speech say, that must be the same on both sides (nulls are).
+    """
+    also = also or []
+    exact = index.groupBy("surface", *also).agg(F.min("id").alias("exact_id"))
+    folded = index.groupBy("key", *also).agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low = high").select("key", *also, F.col("low").alias("key_id"))
+    out = wanted
+    for side, by in ((exact, "surface"), (folded, "key")):
+        renamed = side.select(*[F.col(c).alias(f"_{c}") for c in (by, *also)], side.columns[-1])
+        same = [out[by] == renamed[f"_{by}"], *[out[c].eqNullSafe(renamed[f"_{c}"]) for c in also]]
+        out = out.join(renamed, same, "left").drop(*[f"_{c}" for c in (by, *also)])
+    return out.select("surface", "key", *also, F.coalesce("exact_id", "key_id").alias("id"))
 
 
 def ranked_search(queries: DataFrame, index: DataFrame, ranks: DataFrame, limit: int) -> DataFrame:

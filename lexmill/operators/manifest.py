@@ -26,3 +26,33 @@ def checks(builds: DataFrame, frequency: DataFrame, drift: DataFrame, tables: li
     half = F.count_if(F.col("drift_ci_lo").isNotNull() & F.col("drift_score_boot").isNull())
     columns = drift.agg(half.alias("n")).select(F.lit("drift_columns").alias("check"), (F.col("n") > 0).alias("failed"), F.col("n").cast("string").alias("detail"))
     return version.unionByName(coverage).unionByName(scale).unionByName(columns)
+
+
+def store_checks(predicted: DataFrame, lemmas: DataFrame) -> DataFrame:
+    """check, failed, detail: classifier scores are probabilities, and words that only an accent tells apart are lemmas of their own.
+
+    A lexicon keyed on the folded word would have one lemma for each key and part of speech, whatever
+    the accents of its forms say: lemmas(lemma, normalized_lemma, pos, forms) has in forms the
+    accented spellings known of each key.
+    """
+    odd = F.count_if((F.col("source") == "classifier") & ~F.coalesce(F.col("score").between(0, 1), F.lit(False)))
+    floor = predicted.agg(odd.alias("n")).select(F.lit("classifier_floor").alias("check"), (F.col("n") > 0).alias("failed"), F.col("n").cast("string").alias("detail"))
+    own = lemmas.groupBy("normalized_lemma", "pos").agg(F.collect_set("lemma").alias("own"), F.flatten(F.collect_list("forms")).alias("known"))
+    lost = F.array_except(F.array_distinct("known"), "own")
+    missing = own.select(F.explode(lost).alias("lemma")).agg(F.array_join(F.array_sort(F.collect_set("lemma")), ",").alias("detail"))
+    identity = missing.select(F.lit("lemma_identity").alias("check"), (F.col("detail") != "").alias("failed"), "detail")
+    return floor.unionByName(identity)
+
+
+def status(found: DataFrame, builds: DataFrame) -> DataFrame:
+    """ok, n_failed, failed (names), components: the state of a store by its checks and newest builds."""
+    a = found.agg(F.count_if("failed").alias("n_failed"), F.array_sort(F.collect_list(F.when(F.col("failed"), F.col("check")))).alias("failed"))
+    b = latest(builds).agg(F.array_sort(F.collect_set("component")).alias("components"), F.max("run_at").alias("last_build"))
+    return a.join(b).select((F.col("n_failed") == 0).alias("ok"), "n_failed", "failed", "components", "last_build")  # one row each
+
+
+def fingerprint(rows: DataFrame) -> DataFrame:
+    """rows and digest of a table: the same for the same rows in any order and partitioning."""
+    h = F.xxhash64(*[F.col(c) for c in sorted(rows.columns)])
+    low = F.coalesce(F.sum(h.cast("decimal(20,0)")), F.lit(0)).cast("string")
+    return rows.agg(F.count("*").alias("rows"), F.sha2(F.concat_ws(":", F.count("*").cast("string"), low, F.coalesce(F.bit_xor(h), F.lit(0)).cast("string")), 256).alias("digest"))

@@ -6,43 +6,48 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+BLOCK = 1024  #: vectors in a block
+
+
+def blocks(rows: DataFrame, name: str) -> DataFrame:
+    """name: an array of about BLOCK (vec_id, embedding) structs in each row."""
+    n = max(1, -(-rows.count() // BLOCK))
+    packed = rows.select("vec_id", "embedding").groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("block"))
+    return packed.agg(F.collect_list(F.struct("vec_id", "embedding")).alias(name)).select(name)
+
+
 def exact_neighbours(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """vec_id, neighbor, score, place: the k nearest rows by inner product for a stated query set, queries in blocks against all rows.
+    """vec_id, neighbor, score, place: the k nearest rows by inner product for a stated query set, blocks of queries against blocks of rows.
 
-    Each block of queries is one row that holds up to 256 vectors, so the pairs are formed block by
-    block in a matrix product, and a block hands on its k best of each batch only.
+    A vector is copied once for each block on the other side, a pair of blocks is one matrix product,
+    and only its k best for each query go on.
     """
-    blocks = queries.select("vec_id", "embedding").groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("block")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("asked"))
 
     def score(batches):
         import numpy as np
         import pandas as pd
 
         for pdf in batches:
-            out = []
-            for block, part in pdf.groupby("block"):
-                asked = part["asked"].iloc[0]
-                q = np.stack([np.asarray(a["embedding"], float) for a in asked])
-                v = np.stack([np.asarray(e, float) for e in part["embedding"]])
-                ids = part["neighbor"].to_numpy()
-                scores = np.round(q @ v.T, 6)
-                for a, s in zip(asked, scores):
-                    order = np.lexsort((ids, -s))
+            for asked, given in zip(pdf["asked"], pdf["given"]):
+                q, v = (np.stack([np.asarray(x["embedding"], float) for x in side]) for side in (asked, given))
+                ids = np.array([x["vec_id"] for x in given])
+                out = []
+                for a, s in zip(asked, np.round(q @ v.T, 6)):
+                    order = np.lexsort((ids, -s))[: k + 1]
                     order = order[ids[order] != a["vec_id"]][:k]
                     out.append(pd.DataFrame({"vec_id": a["vec_id"], "neighbor": ids[order], "score": s[order]}))
-            if out:
                 yield pd.concat(out)
 
-    pairs = rows.select(F.col("vec_id").alias("neighbor"), "embedding").join(blocks)
+    pairs = blocks(rows, "given").join(blocks(queries, "asked"))
     best = pairs.mapInPandas(score, "vec_id bigint, neighbor bigint, score double")
     place = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "neighbor"))
     return best.withColumn("place", place).where(F.col("place") <= k)
 
 
 def centroid_distances(rows: DataFrame, group: str, vector: str) -> DataFrame:
-    """first_label, last_label, distance: cosine distances of the groups' mean vectors."""
+    """first_label, last_label, distance: cosine distances of the groups' mean vectors, 0 with a zero vector."""
     means = rows.select(group, F.posexplode(vector).alias("i", "v")).groupBy(group, "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
     a, b = means.alias("a"), means.alias("b")
     pairs = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col(f"a.{group}") < F.col(f"b.{group}")))
     dot = lambda x, y: F.sum(F.col(f"{x}.m") * F.col(f"{y}.m"))
-    return pairs.groupBy(F.col(f"a.{group}").alias("first_label"), F.col(f"b.{group}").alias("last_label")).agg(F.round(1 - dot("a", "b") / F.sqrt(dot("a", "a") * dot("b", "b")), 6).alias("distance"))
+    return pairs.groupBy(F.col(f"a.{group}").alias("first_label"), F.col(f"b.{group}").alias("last_label")).agg(F.round(F.coalesce(1 - dot("a", "b") / F.nullif(F.sqrt(dot("a", "a") * dot("b", "b")), F.lit(0.0)), F.lit(0.0)), 6).alias("distance"))

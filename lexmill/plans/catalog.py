@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as tx
 from lexmill.functions import morphology
-from lexmill.operators import calibration, contexts, domains, drift, frequency, lexicon, manifest, trends, vectors
+from lexmill.operators import calibration, contexts, discovery, domains, drift, frequency, lexicon, lookup, manifest, merges, trends, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -110,14 +110,8 @@ def mann_kendall_hamed_rao(spark, sf):
 
 @query()
 def trends_bh(spark, sf):
-    from lexmill.functions.stats import with_bh
-
     series = _series(spark, sf)
-    gated = trends.ols_gate(series, "lemma", 5, 1.0, 0.0)
-    tested = gated.join(trends.mann_kendall(series, "lemma").select("lemma", "p_value"), "lemma").join(trends.pairwise(series, "lemma").select("lemma", "theil_sen"), "lemma")
-    fdr = with_bh(tested, "p_value", ["lemma"]).withColumn("significant", F.col("q_value") <= 0.05)
-    side = lambda name, order, sign: fdr.where(sign).orderBy(order, "lemma").limit(20).withColumn("side", F.lit(name))
-    return side("rising", F.desc("theil_sen"), F.col("theil_sen") > 0).unionByName(side("falling", F.asc("theil_sen"), F.col("theil_sen") < 0))
+    return discovery.trends(series, "lemma")
 
 
 _DAYS = "SELECT event_type, CAST(ts AS DATE) AS day, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY 1, 2"
@@ -145,10 +139,49 @@ def movers_freq_gated(spark, sf):
 @query("""WITH m AS (SELECT p_type, p_name, max(p_retailprice) AS score FROM part GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY score DESC, p_name) AS place, max(score) OVER (PARTITION BY p_type) AS best FROM m)
 SELECT p_type AS field, p_name AS lemma, score, CAST(place AS INT) AS place, CAST(dense_rank() OVER (ORDER BY best DESC, p_type) AS INT) AS field_place FROM r WHERE place <= 8""")
 def by_field_topk(spark, sf):
-    best = _t(spark, sf, "part").groupBy("p_type", "p_name").agg(F.max("p_retailprice").alias("score"))
-    w = Window.partitionBy("p_type")
-    top = best.withColumn("place", F.row_number().over(w.orderBy(F.desc("score"), "p_name"))).withColumn("best", F.max("score").over(w)).where("place <= 8")
-    return top.select(F.col("p_type").alias("field"), F.col("p_name").alias("lemma"), "score", "place", F.dense_rank().over(Window.orderBy(F.desc("best"), "p_type")).alias("field_place"))
+    part = _t(spark, sf, "part")
+    movers = part.select(F.col("p_partkey").alias("lemma_id"), F.col("p_name").alias("key"), F.col("p_retailprice").alias("score"))
+    found = discovery.by_field(movers, part.select(F.col("p_partkey").alias("lemma_id"), F.col("p_type").alias("domain")), 8)
+    return found.select(F.col("domain").alias("field"), F.col("key").alias("lemma"), "score", "place", "field_place")
+
+
+@query("""WITH p AS (SELECT o_custkey AS id, o_orderkey, o_orderpriority AS rel, CASE WHEN o_orderstatus = 'F' THEN 'el-wiktionary' ELSE 'en-wiktionary' END AS source, o_orderkey % 2 AS later FROM orders),
+held AS (SELECT DISTINCT id FROM p WHERE source = 'el-wiktionary'), best AS (SELECT DISTINCT id FROM p WHERE later = 1 AND source = 'el-wiktionary'),
+fill AS (SELECT * FROM p WHERE later = 1 AND source <> 'el-wiktionary' AND id NOT IN (SELECT id FROM held))
+SELECT id, o_orderkey, rel, source FROM p WHERE later = 0 AND id NOT IN (SELECT id FROM best) AND NOT (source <> 'el-wiktionary' AND id IN (SELECT id FROM fill)) UNION ALL SELECT id, o_orderkey, rel, source FROM p WHERE later = 1 AND source = 'el-wiktionary' UNION ALL SELECT id, o_orderkey, rel, source FROM fill""")
+def merge_by_source(spark, sf):
+    source = F.when(F.col("o_orderstatus") == "F", "el-wiktionary").otherwise("en-wiktionary")
+    rows = _t(spark, sf, "orders").select(F.col("o_custkey").alias("id"), "o_orderkey", F.col("o_orderpriority").alias("rel"), source.alias("source"), (F.col("o_orderkey") % 2).alias("later"))
+    side = lambda later: rows.where(F.col("later") == later).drop("later")
+    return merges.merged_by_source(side(0), side(1), "id").select("id", "o_orderkey", "rel", "source")
+
+
+@query("""SELECT term AS en_term, lemma_id, max(weight) AS weight, 'en' AS source FROM (SELECT p_partkey AS lemma_id, p_name AS term, CAST(1 AS DOUBLE) AS weight FROM part UNION ALL SELECT p_partkey, p_type, 0.5 FROM part) GROUP BY 1, 2""")
+def gloss_index(spark, sf):
+    senses = _t(spark, sf, "part").select(F.col("p_partkey").alias("lemma_id"), F.col("p_size").alias("sense_index"), F.col("p_name").alias("gloss"), F.lit("en").alias("source"), "p_type")
+    return lookup.gloss_index(senses, F.array("gloss", "p_type"))
+
+
+@query(f"""WITH c AS (SELECT lang AS corpus, 2000 + doc_id % 3 AS year, token, count(*) AS n FROM (SELECT lang, doc_id, unnest({_TOKENS}) AS token FROM documents) GROUP BY 1, 2, 3), t AS (SELECT corpus, year, sum(n) AS total FROM c GROUP BY 1, 2),
+i AS (SELECT DISTINCT lower(p_name) AS token, p_size AS lemma_id FROM part UNION SELECT * FROM (VALUES ('the', 1), ('the', 2), ('de', 3), ('der', 4), ('und', 4)))
+SELECT corpus, CAST(year AS INT) AS year, CAST(lemma_id AS INT) AS lemma_id, CAST(sum(n) AS BIGINT) AS count, round(sum(n) / total * 1e6, 3) AS per_million FROM c JOIN i USING (token) JOIN t USING (corpus, year) GROUP BY 1, 2, 3, total""")
+def lemma_series(spark, sf):
+    docs = _t(spark, sf, "documents").withColumn("year", (2000 + F.col("doc_id") % 3).cast("int")).withColumnRenamed("lang", "corpus")
+    index = _t(spark, sf, "part").select(F.lower("p_name").alias("normalized"), F.col("p_size").alias("lemma_id"))
+    more = spark.createDataFrame([("the", 1), ("the", 2), ("de", 3), ("der", 4), ("und", 4)], "normalized string, lemma_id int")
+    return lookup.lemma_series(frequency.token_counts(docs, ["corpus", "year"]), index.unionByName(more))
+
+
+@query("""WITH p AS (SELECT l_partkey % 300 AS w1, l_suppkey AS w2, max(l_extendedprice) AS s FROM lineitem GROUP BY 1, 2), b AS (SELECT w1 AS lemma_id, w2 AS c, max(s) AS s FROM (SELECT w1, w2, s FROM p UNION ALL SELECT w2, w1, s FROM p) WHERE w1 <> w2 GROUP BY 1, 2),
+f AS (SELECT *, c // 2 AS target FROM b), g AS (SELECT lemma_id // 2 AS lemma_id, target, c, max(s) AS s FROM f GROUP BY 1, 2, 3), o AS (SELECT *, row_number() OVER (PARTITION BY lemma_id, target ORDER BY s DESC, CAST(c + 1000 AS VARCHAR)) AS k FROM g WHERE lemma_id <> target),
+r AS (SELECT *, row_number() OVER (PARTITION BY lemma_id ORDER BY s DESC, CAST(c + 1000 AS VARCHAR)) AS place FROM o WHERE k = 1)
+SELECT lemma_id, CAST(place AS INT) AS place, CAST(c + 1000 AS VARCHAR) AS collocate, s AS significance, target AS collocate_id FROM r WHERE place <= 12""")
+def collocations_by_lemma(spark, sf):
+    word = lambda c: (c + 1000).cast("string")
+    lines = _t(spark, sf, "lineitem").select((F.col("l_partkey") % 300).alias("a"), F.col("l_suppkey").alias("b"), "l_extendedprice")
+    pairs = lines.groupBy(word(F.col("a")).alias("w1"), word(F.col("b")).alias("w2")).agg(F.max("l_extendedprice").alias("significance"))
+    index = spark.range(400).select(word(F.col("id")).alias("normalized"), F.floor(F.col("id") / 2).alias("lemma_id"))
+    return lookup.lemma_collocations(pairs, index, lambda c: c, ["none"])
 
 
 # --- keyness ---
@@ -202,19 +235,19 @@ def drift_rank_pairs(spark, sf):
 _DOT = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
 
 
-@query(f"""WITH s AS (SELECT a.vec_id, b.vec_id AS neighbor, round({_DOT}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.label < 3), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbor) AS place FROM s)
+@query(f"""WITH s AS (SELECT a.vec_id, b.vec_id AS neighbor, round({_DOT}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbor) AS place FROM s)
 SELECT vec_id, neighbor, score, CAST(place AS INT) AS place FROM r WHERE place <= 8""")
 def embedding_neighbors_topk(spark, sf):
     v = _t(spark, sf, "embeddings").select("vec_id", "embedding", "label")
-    return vectors.exact_neighbours(v.where("label < 3"), v, 8)
+    return vectors.exact_neighbours(v, v, 8)
 
 
-@query(f"""WITH k AS (SELECT unnest([1, 2]) AS era), s AS (SELECT era, a.vec_id, b.vec_id AS neighbor, round({_DOT}, 6) AS score FROM k JOIN embeddings a ON a.label = 0 JOIN embeddings b ON a.vec_id <> b.vec_id AND b.vec_id % 2 = era - 1), r AS (SELECT *, row_number() OVER (PARTITION BY era, vec_id ORDER BY score DESC, neighbor) AS place FROM s),
+@query(f"""WITH k AS (SELECT unnest([1, 2]) AS era), s AS (SELECT era, a.vec_id, b.vec_id AS neighbor, round({_DOT}, 6) AS score FROM k JOIN embeddings a ON true JOIN embeddings b ON a.vec_id <> b.vec_id AND b.vec_id % 2 = era - 1), r AS (SELECT *, row_number() OVER (PARTITION BY era, vec_id ORDER BY score DESC, neighbor) AS place FROM s),
 l AS (SELECT vec_id, list(neighbor // 2) FILTER (era = 1) AS x, list(neighbor // 2) FILTER (era = 2) AS y FROM r WHERE place <= 15 GROUP BY vec_id)
 SELECT vec_id, round(1 - len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS change FROM l""")
 def neighbor_overlap(spark, sf):
     v = _t(spark, sf, "embeddings").select("vec_id", "embedding", "label")
-    eras = [vectors.exact_neighbours(v.where("label = 0"), v.where(F.col("vec_id") % 2 == e), 15) for e in (0, 1)]
+    eras = [vectors.exact_neighbours(v, v.where(F.col("vec_id") % 2 == e), 15) for e in (0, 1)]
     sets = [e.groupBy("vec_id").agg(F.collect_set(F.floor(F.col("neighbor") / 2)).alias(n)) for e, n in zip(eras, "xy")]
     return sets[0].join(sets[1], "vec_id").select("vec_id", F.round(1 - F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")), 6).alias("change"))
 
@@ -323,11 +356,11 @@ def precedence_merge(spark, sf):
     return lexicon.precedence_merge(rows, "key", "1-URGENT")
 
 
-@query("""WITH i AS (SELECT p_name || '/' || p_size AS surface, p_name AS key, p_partkey AS id FROM part WHERE p_partkey % 3 = 0), w AS (SELECT DISTINCT p_name || '/' || p_size AS surface, p_name AS key FROM part), x AS (SELECT surface, min(id) AS id FROM i GROUP BY 1), k AS (SELECT key, min(id) AS id FROM i GROUP BY 1 HAVING min(id) = max(id))
+@query("""WITH i AS (SELECT p_name || '/' || p_size AS surface, p_name AS key, p_partkey AS id FROM part), w AS (SELECT DISTINCT p_name || '/' || p_size AS surface, p_name AS key FROM part), x AS (SELECT surface, min(id) AS id FROM i GROUP BY 1), k AS (SELECT key, min(id) AS id FROM i GROUP BY 1 HAVING min(id) = max(id))
 SELECT w.surface, w.key, coalesce(x.id, k.id) AS id FROM w LEFT JOIN x ON x.surface = w.surface LEFT JOIN k ON k.key = w.key""")
 def two_tier_resolve(spark, sf):
     rows = _t(spark, sf, "part").select(F.concat_ws("/", "p_name", "p_size").alias("surface"), F.col("p_name").alias("key"), F.col("p_partkey").alias("id"))
-    return lexicon.two_tier_resolve(rows.select("surface", "key").distinct(), rows.where("id % 3 = 0"))
+    return lexicon.two_tier_resolve(rows.select("surface", "key").distinct(), rows)
 
 
 @query("""SELECT l_orderkey AS lemma_id, CASE WHEN bool_and(l_returnflag = 'N') THEN 'name' ELSE 'content' END AS lemma_class, count(*) AS senses FROM lineitem GROUP BY 1""")

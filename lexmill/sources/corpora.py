@@ -76,3 +76,41 @@ def one_corpus(folders: DataFrame, chosen: str | None = None) -> DataFrame:
 def replace_partition(df: DataFrame, path: str, by: list[str]) -> None:
     """Write df so that the partitions it has rows for are replaced and the others stay: running it again changes nothing."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def word_ids(rows: DataFrame) -> DataFrame:
+    """word_id and word of words() rows with their line number `line`: the last line of an id holds."""
+    return rows.groupBy("word_id").agg(F.max_by("word", "line").alias("word"))
+
+
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """word_id, word, line of a word file; lines with fewer than two fields are left out. Lines are numbered within a file."""
+    rows = _fields(spark, path).withColumn("line", F.monotonically_increasing_id())
+    return rows.where(F.size("f") >= 2).select(F.get("f", F.lit(0)).alias("word_id"), F.get("f", F.lit(1)).alias("word"), "line")
+
+
+def folders(spark: SparkSession, root: str, chosen: str | None = None, ending: str = "-sentences.txt") -> DataFrame:
+    """path, source, corpus, year of the dated corpus folders under root that hold a file with the ending; chosen is a source or a corpus.
+
+    The names come from a listing of the store, which holds a few files for each folder.
+    """
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = base.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(base, f"*/*{ending}"))
+    paths = sorted({f.getPath().getParent().toString() for f in found or []})
+    named = spark.createDataFrame([(p,) for p in paths], "path string")
+    named = named.withColumn("source", F.regexp_extract("path", r"([^/\\]+?)_[0-9]{4}(?:_[^/\\]*)?$", 1)).withColumn("corpus", corpus_of(F.col("path")))
+    named = named.withColumn("year", year_of(F.regexp_extract("path", r"([^/\\]+)$", 1))).where("year is not null")
+    return named if chosen is None else named.where((F.col("source") == chosen) | (F.col("corpus") == chosen))
+
+
+def available(named: DataFrame) -> DataFrame:
+    """corpus and its sorted years, of folders()."""
+    return named.where("corpus is not null").groupBy("corpus").agg(F.array_sort(F.collect_list("year")).alias("years"))
+
+
+def slices(spark: SparkSession, root: str) -> DataFrame:
+    """corpus, year, tokens of the slice files <corpus>/<year>.txt under root: a line is a sentence of tokens."""
+    rows = spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).text(root)
+    path = F.col("_metadata.file_path")
+    named = rows.select(F.regexp_extract(path, r"([^/]+)/[0-9]{4}\.txt$", 1).alias("corpus"), F.regexp_extract(path, r"/([0-9]{4})\.txt$", 1).try_cast("int").alias("year"), "value")
+    return named.where("year is not null and btrim(value) != ''").select("corpus", "year", F.split(F.btrim("value"), " +").alias("tokens"))
