@@ -189,3 +189,27 @@ def test_pipeline(spark, tmp_path):
     assert docs.where("text like '%@b.example%'").count() == 0
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() == docs.count() and out.where("not round_trip").count() == 0
+
+
+def test_pipeline_on_empty_and_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, size string, row_key string, whole_row string, rank int"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    rng = random.Random(2)
+    words = "the of and to in is that it for with house river green small dog walked slowly".split() + [f"word{i}" for i in range(300)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, text(90), rng.choice(["en", None, "xx"]), rng.choice(["a", None]), 0, "x", "x", "x", 1) for i in range(40)]
+    rows += [rows[0], (None, text(80), "en", "a", 0, "x", "x", "x", 1), (50, None, None, None, None, None, None, None, None), (51, "", "en", "a", 0, "x", "x", "x", 1), (52, text(20_000), "en", "a", 0, "x", "x", "x", 1)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+        docs = stage(spark, docs, "")
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+        docs.write.parquet(f"{tmp_path}/odd/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/odd/{i}")
+    ids = [r.doc_id for r in docs.collect()]
+    assert sorted(x for x in ids if x is not None) == [*range(40), 52] and ids.count(None) == 1
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd")
+    assert out.where("not round_trip").count() == 0 and out.columns == ["doc_id", "n_tokens", "ids", "round_trip"]
