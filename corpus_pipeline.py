@@ -2,7 +2,13 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame. It is written as Parquet in the
 shared folder and read again as the next stage's docs, so a lost executor costs one stage at most.
-All stages but the last return the columns of documents.
+All stages but the last return the columns of documents, others that the table has included, whatever
+their names.
+
+Defined results, for every stage: an empty table gives an empty one; rows without text go in the first
+stage (too few words); rows without doc_id or source are rows like others (without doc_id they are no
+copies of anything); repeated rows are near copies, of which one stays; ties fall to the smallest
+doc_id; texts of any length are read whole.
 """
 
 from __future__ import annotations
