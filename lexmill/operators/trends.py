@@ -9,13 +9,13 @@ from lexmill.functions import stats
 
 
 def ols_gate(series: DataFrame, key: str, least_years: int, least_mean: float, least_r2: float) -> DataFrame:
-    """key, n, avg_pm, slope_ols, r2 of series(key, year, per_million) that pass."""
+    """key, n, avg_pm, slope_ols, r2 of series(key, year, per_million) that pass. Rounded twice, so that the order of a sum does not decide a tie."""
     x, y = F.col("year").cast("double"), F.col("per_million")
     sums = series.groupBy(key).agg(F.count("*").alias("n"), F.avg(y).alias("avg_pm"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sx2"), F.sum(y * y).alias("sy2"), F.sum(x * y).alias("sxy0"))
     sums = sums.withColumns({"sxx": F.expr("sx2 - sx * sx / n"), "syy": F.expr("sy2 - sy * sy / n"), "sxy": F.expr("sxy0 - sx * sy / n")})
     fit = sums.where("n >= 1 AND sxx > 1e-9 AND syy > 1e-9").withColumn("r2", F.expr("sxy * sxy / (sxx * syy)")).withColumn("slope_ols", F.expr("sxy / sxx"))
     passed = fit.where((F.col("n") >= least_years) & (F.col("avg_pm") >= least_mean) & (F.col("r2") >= least_r2))
-    return passed.select(key, "n", F.round("avg_pm", 4).alias("avg_pm"), F.round("slope_ols", 4).alias("slope_ols"), F.round("r2", 6).alias("r2"))
+    return passed.select(key, "n", F.round(F.round("avg_pm", 8), 4).alias("avg_pm"), F.round(F.round("slope_ols", 7), 4).alias("slope_ols"), F.round("r2", 6).alias("r2"))
 
 
 def pairwise(series: DataFrame, key: str) -> DataFrame:

@@ -87,7 +87,7 @@ def corpus_overview(spark, sf):
 
 _OLS = f"""WITH s AS ({_BY_NAME}), g AS (SELECT lemma, count(*) AS n, avg(per_million) AS m, sum(year) AS sx, sum(per_million) AS sy, sum(year * year::DOUBLE) AS sx2, sum(per_million * per_million) AS sy2, sum(year * per_million) AS sxy0 FROM s GROUP BY lemma),
 f AS (SELECT lemma, n, m, sx2 - sx * sx::DOUBLE / n AS sxx, sy2 - sy * sy / n AS syy, sxy0 - sx * sy / n AS sxy FROM g)
-SELECT lemma, n, round(m, 4) AS avg_pm, round(sxy / sxx, 4) AS slope_ols, round(sxy * sxy / (sxx * syy), 6) AS r2 FROM f WHERE n >= 5 AND m >= 1 AND sxx > 1e-9 AND syy > 1e-9 AND sxy * sxy / (sxx * syy) >= 0.25"""
+SELECT lemma, n, round(round(m, 8), 4) AS avg_pm, round(round(sxy / sxx, 7), 4) AS slope_ols, round(sxy * sxy / (sxx * syy), 6) AS r2 FROM f WHERE n >= 5 AND m >= 1 AND sxx > 1e-9 AND syy > 1e-9 AND sxy * sxy / (sxx * syy) >= 0.25"""
 
 
 @query(_OLS)
