@@ -20,6 +20,11 @@ def train(slices: DataFrame, size: int = 100, window: int = 5, min_count: int =
     return model.getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("vector")).join(counts, "token")
 
 
+def pooled_vectors(slices: DataFrame, size: int = 150, min_count: int = 3, **training) -> DataFrame:
+    """token, vector, count over all slices(tokens) at once."""
+    return train(slices.select("tokens"), size=size, min_count=min_count, **training)
+
+
 def unit(m: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(n == 0, 1, n)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.operators.lexicon import MISSING_RANK
 
 ENTRIES_SHOWN, NAMES_SHOWN = 12, 12
+SNAPSHOTS_KEPT, KEY_PLACES = 500, 3
 
 
 def gathered(rows: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
@@ -90,3 +91,33 @@ def snapshot(result: DataFrame, path: str, key: str, signature: str) -> DataFram
     if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
         result.write.mode("errorifexists").parquet(where)
     return spark.read.parquet(where)
+
+
+def snapshot_key(name: str, **parameters) -> str:
+    """A key for snapshot: parameters by name, fractions rounded, so that near values share one result."""
+    shown = lambda v: f"{round(v, KEY_PLACES):.{KEY_PLACES}f}" if isinstance(v, float) else str(v)
+    return "-".join([name, *(f"{k}~{shown(v)}" for k, v in sorted(parameters.items()))])
+
+
+def trim_snapshots(spark: SparkSession, path: str, keep: int = SNAPSHOTS_KEPT) -> int:
+    """Deletes what snapshot keeps under path but for the newest signature of each of the keep newest keys; the number deleted."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    every = hadoop.Path(f"{path}/key=*/sig=*")
+    files = every.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted(((s.getModificationTime(), s.getPath().toString()) for s in files.globStatus(every)), reverse=True)
+    kept, spent = set(), []
+    for _, where in found:
+        key = where.rsplit("/", 2)[1]
+        if key in kept or len(kept) >= keep:
+            spent.append(where)
+        else:
+            kept.add(key)
+    for where in spent:
+        files.delete(hadoop.Path(where), True)
+    return len(spent)
+
+
+def write_report(parts: dict[str, DataFrame], path: str) -> None:
+    """Every part as a folder of JSON lines under path, in place of what was there."""
+    for name, rows in parts.items():
+        rows.write.mode("overwrite").json(f"{path}/{name}")

@@ -40,3 +40,20 @@ def test_graph_and_snapshot(spark, tmp_path):
     for value in (1, 2):
         kept = store.snapshot(spark.range(1).select(F.lit(value).alias("v")), str(tmp_path), "trends", "v1")
     assert kept.first().v == 1
+
+
+def test_retention_and_report(spark, tmp_path):
+    import os
+    import time
+
+    one = spark.range(1)
+    for i, (key, sig) in enumerate((("a", "1"), ("a", "2"), ("b", "1"), ("c", "1"))):
+        store.snapshot(one, str(tmp_path / "kept"), key, sig)
+        os.utime(tmp_path / "kept" / f"key={key}" / f"sig={sig}", (time.time() + 10 * i,) * 2)
+    assert store.trim_snapshots(spark, str(tmp_path / "kept"), 2) == 2
+    assert sorted(str(p.relative_to(tmp_path / "kept")) for p in (tmp_path / "kept").glob("*/*")) == ["key=b/sig=1", "key=c/sig=1"]
+    assert store.trim_snapshots(spark, str(tmp_path / "none"), 2) == 0
+    assert store.snapshot_key("trends", corpus="x", r2=0.2500001, limit=20) == store.snapshot_key("trends", limit=20, r2=0.25, corpus="x") == "trends-corpus~x-limit~20-r2~0.250"
+    for n in (3, 2):
+        store.write_report({"rows": spark.range(n)}, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report" / "rows")).count() == 2
