@@ -57,3 +57,11 @@ def test_retention_and_report(spark, tmp_path):
     for n in (3, 2):
         store.write_report({"rows": spark.range(n)}, str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report" / "rows")).count() == 2
+
+
+def test_pooled_vectors(spark):
+    from lexmill.operators import drift
+
+    lines = spark.createDataFrame([([f"w{(i + j) % 5}" for j in range(6)], i % 2) for i in range(30)], "tokens array<string>, year int")
+    got = drift.pooled_vectors(lines, size=6, epochs=1).collect()
+    assert {(r.token, r["count"]) for r in got} == {(f"w{i}", 36) for i in range(5)} and all(len(r.vector) == 6 for r in got)
