@@ -10,7 +10,8 @@ generalises: every span gives way to the name of its kind.
 
 What is gathered grows with the documents that hold entities, and is counted in shuffles. Only
 bitmaps of fixed size are sent to all tasks, to leave out early what an exact count or join leaves
-out after them.
+out after them. A term that is in too many of the documents with entities is in too many of all: it
+is left out, exactly, before all documents are counted.
 
 Defined results: null and empty texts have no spans and stay as they are, and an empty table has no
 rows; texts of any length, with numbers of any length in them, are scanned whole; repeated rows are
@@ -26,7 +27,7 @@ from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import bitmap, clear_name, map_lists, written
@@ -40,8 +41,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 WORD = re.compile(r"[^\W\d_]{3,}")
-BITS = 1 << 20  #: cells of the bitmap of terms
-TELLING_BITS, TELLING_CELLS = 23, 4  #: of the bitmap of disclosing terms: cells (log2), cells for each term
+BITS = 1 << 20  #: cells of the bitmap of entities
+TERM_BITS, TERM_CELLS = 23, 4  #: of the bitmaps of terms: cells (log2), cells for each term
 SALTS = 32  #: parts among which the occurrences of one term are joined
 
 
@@ -156,54 +157,79 @@ def entity_pairs(found: DataFrame, least: int) -> DataFrame:
     return pairs.groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= least)
 
 
+def certain(params: PiiParams) -> Column:
+    """Of columns documents and together: is P(entity | term) within disclosure_bits of certainty?"""
+    return F.log2(F.col("documents") / F.col("together")) <= params.disclosure_bits
+
+
+def open_terms(pairs: DataFrame, found: DataFrame, params: PiiParams) -> DataFrame:
+    """(term): the terms of pairs that may disclose, by the documents with entities alone.
+
+    All documents with a term are no fewer than those in found, so a term that fails here fails for
+    good. Words that stand beside some entity only by being common go here, before each part of the
+    table would give a count of each of them.
+    """
+    within = found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("documents"))
+    most = pairs.groupBy("term").agg(F.max("together").alias("together"))
+    return most.join(within, "term").where(certain(params)).select("term")
+
+
+def cells_of(h: int) -> list[int]:
+    """The cells of a term in a bitmap of terms."""
+    return [(h >> 15 * i) % (1 << TERM_BITS) for i in range(TERM_CELLS)]
+
+
+def term_bitmap(terms: DataFrame) -> bytes:
+    """The bitmap of terms(term)."""
+    cell = [F.pmod(F.shiftright("term", 15 * i), F.lit(1 << TERM_BITS)) for i in range(TERM_CELLS)]
+    return bitmap(terms.select(F.explode(F.array(*cell))), TERM_BITS)
+
+
+class Hashes(dict):
+    """word -> its hash, or None for a word that is not in a bitmap of terms."""
+
+    def __init__(self, bits: bytes):
+        super().__init__()
+        self.bits = bits
+
+    def __missing__(self, word: str) -> int | None:
+        h = term_hash(word)
+        self[word] = h if all(self.bits[c >> 3] >> (c & 7) & 1 for c in cells_of(h)) else None
+        return self[word]
+
+
 def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, documents): in how many documents each of terms is; words outside the bitmap of terms are left out early."""
-    cells = bitmap(terms.select(F.pmod("term", F.lit(BITS))), BITS.bit_length() - 1)
+    cells = term_bitmap(terms)
     if not any(cells):
         return terms.select("term", F.lit(0).cast("bigint").alias("documents"))
     sent = docs.sparkSession.sparkContext.broadcast(cells)
 
     def count(batch: dict) -> dict:
-        bits, counts, known = sent.value, Counter(), {}
+        hashed, counts = Hashes(sent.value), Counter()
         for text in batch["text"]:
-            for w in terms_of(text or "", base_spans(text or "")):
-                h = known.get(w)
-                if h is None:
-                    h = known[w] = term_hash(w)
-                c = h % BITS
-                if bits[c >> 3] >> (c & 7) & 1:
-                    counts[h] += 1
+            some = {w for w in terms_of(text or "", []) if hashed[w] is not None}
+            if some and (base := base_spans(text)):
+                some &= terms_of(text, base)
+            counts.update(hashed[w] for w in some)
         return {"term": list(counts), "documents": list(counts.values())}
 
     counted = map_lists(docs.select("text"), count, "term bigint, documents bigint", rows=None)
     return counted.groupBy("term").agg(F.sum("documents").alias("documents")).join(terms, "term", "left_semi")
 
 
-def cells_of(h: int) -> list[int]:
-    """The cells of a term in the bitmap of disclosing terms."""
-    return [(h >> 15 * i) % (1 << TELLING_BITS) for i in range(TELLING_CELLS)]
-
-
 def occurrences(docs: DataFrame, telling: DataFrame) -> DataFrame:
     """(key, start, end): where the terms of telling(term) stand in docs, outside base spans, once for repeated rows."""
-    cell = [F.pmod(F.shiftright("term", 15 * i), F.lit(1 << TELLING_BITS)) for i in range(TELLING_CELLS)]
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap(telling.select(F.explode(F.array(*cell))), TELLING_BITS))
+    sent = docs.sparkSession.sparkContext.broadcast(term_bitmap(telling))
 
     def find(batch: dict) -> dict:
-        bits, known, out = sent.value, {}, {"key": [], "term": [], "spans": []}
-
-        def hashed(w: str) -> int | None:
-            if w not in known:
-                h = term_hash(w)
-                known[w] = h if all(bits[c >> 3] >> (c & 7) & 1 for c in cells_of(h)) else None
-            return known[w]
-
+        hashed, out = Hashes(sent.value), {"key": [], "term": [], "spans": []}
         for key, text in zip(batch["key"], batch["text"]):
             text, spans = text or "", {}
-            if all(hashed(w.lower()) is None for w in set(WORD.findall(text))):
+            if all(hashed[w.lower()] is None for w in set(WORD.findall(text))):
                 continue
             for w, start, end in outside(text, base_spans(text)):
-                if (h := hashed(w)) is not None:
+                if (h := hashed[w]) is not None:
                     spans.setdefault(h, []).append({"start": start, "end": end})
             for h, places in spans.items():
                 for name, value in zip(out, (key, h, places)):
@@ -219,8 +245,8 @@ def occurrences(docs: DataFrame, telling: DataFrame) -> DataFrame:
 def disclosures(docs: DataFrame, found: DataFrame, params: PiiParams) -> DataFrame:
     """(key, terms): the term spans of the documents that have any."""
     pairs = written(entity_pairs(found, params.least_contexts), "pii-pairs")
-    documents = term_documents(docs, pairs.select("term").distinct())
-    telling = pairs.join(documents, "term").where(F.log2(F.col("documents") / F.col("together")) <= params.disclosure_bits)
+    documents = term_documents(docs, written(open_terms(pairs, found, params), "pii-terms"))
+    telling = pairs.join(documents, "term").where(certain(params))
     spans = occurrences(docs, written(telling.select("term").distinct(), "pii-telling"))
     span = F.struct(F.lit(KINDS.index("term")).alias("rank"), "start", "end")
     return spans.groupBy("key").agg(F.array_sort(F.collect_list(span)).alias("terms"))

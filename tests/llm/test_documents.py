@@ -406,6 +406,56 @@ def test_pii_terms_go_wherever_they_stand(spark):
     assert not any("zorbalina" in r.text.lower() for r in redact(df).collect())
 
 
+def test_pii_counts_grow_with_the_table(spark, monkeypatch):
+    """Words that stand beside entities only by being common are not counted batch by batch; the terms found are those of a plain count."""
+    import math
+    import random
+    from collections import Counter, defaultdict
+
+    from lexmill.llm import pii
+
+    made, real = [], pii.map_lists
+
+    def counting(df, func, schema, **kw):
+        out = real(df, func, schema, **kw)
+        if schema == "term bigint, documents bigint":
+            made.append(out.count())
+        return out
+
+    def letters(i):
+        return "".join("abcdefghij"[int(c)] for c in f"{i:04d}")
+
+    def rows_of(parts):
+        rng, pool = random.Random(parts), [f"w{letters(i)}" for i in range(30 * parts)]
+        out = []
+        for g in range(12 * parts):  # words of the pool stand three times beside an entity of three copies, and a name does
+            text = f"{' '.join(rng.sample(pool, 30))} name{letters(g)} user{g}@corp.example"
+            out += [text] * 3
+        return out + [" ".join(rng.choices(pool, k=120)) for _ in range(48 * parts)]
+
+    def plain(texts):
+        has, together = Counter(), defaultdict(Counter)
+        for t in texts:
+            base = pii.base_spans(t)
+            terms = pii.terms_of(t, base)
+            has.update(terms)
+            for e in {t[s:end] for _, s, end in base}:
+                together[e].update(terms)
+        return {t for c in together.values() for t, n in c.items() if n >= 3 and math.log2(has[t] / n) <= 1}
+
+    monkeypatch.setattr(pii, "map_lists", counting)
+    for parts in (2, 10):
+        texts = rows_of(parts)
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(parts).localCheckpoint()
+        got = {r.doc_id: r.spans for r in pii.pii_spans(df).collect()}
+        telling = plain(texts)
+        assert {f"name{letters(g)}" for g in range(12 * parts)} <= telling
+        for i, t in enumerate(texts):
+            terms = [f"term:{s}:{e}" for w, s, e in pii.outside(t, pii.base_spans(t)) if w in telling]
+            assert [x for x in got[i].split(",") if x.startswith("term")] == terms
+    assert 0 < made[1] <= 12 * made[0]
+
+
 def test_sentencepiece_is_the_library_id_for_id(docs, rows, empty):
     import random
 
