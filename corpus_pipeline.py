@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame. It is written as Parquet in the
 shared folder and read again as the next stage's docs, so a lost executor costs one stage at most.
 All stages but the last return the columns of documents, others that the table has included, whatever
-their names.
+their names. The stages with Python do that part before they return, in small Arrow batches: with
+Spark's 10,000 rows of whole texts in each task, executors outgrow their memory.
 
 Defined results, for every stage: an empty table gives an empty one; rows without text go in the first
 stage (too few words); rows without doc_id or source are rows like others (without doc_id they are no
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm.common import table, written
+from lexmill.llm.common import small_batches, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,14 +30,16 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One document of each group of near copies stays, the one with the smallest doc_id."""
     from lexmill.llm.jaccard import keep_one
 
-    return keep_one(docs)
+    with small_batches(spark):
+        return keep_one(docs)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts give way to the names of their kinds."""
     from lexmill.llm.pii import redact
 
-    return redact(docs)
+    with small_batches(spark):
+        return written(redact(docs), "redacted")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +53,8 @@ def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document: doc_id, n_tokens, ids, round_trip."""
     from lexmill.llm.spm import encode
 
-    return encode(docs)
+    with small_batches(spark):
+        return written(encode(docs), "encoded")
 
 
 STAGES = [

@@ -214,7 +214,7 @@ def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
             counts.update(hashed[w] for w in some)
         return {"term": list(counts), "documents": list(counts.values())}
 
-    counted = map_lists(docs.select("text"), count, "term bigint, documents bigint", rows=None)
+    counted = map_lists(docs.select("text"), count, "term bigint, documents bigint", rows=None, summed=True)
     return counted.groupBy("term").agg(F.sum("documents").alias("documents")).join(terms, "term", "left_semi")
 
 

@@ -213,3 +213,41 @@ def test_pipeline_on_empty_and_odd_tables(spark, tmp_path):
     assert sorted(x for x in ids if x is not None) == [*range(40), 52] and ids.count(None) == 1
     out = corpus_pipeline.run(spark, f"{tmp_path}/odd")
     assert out.where("not round_trip").count() == 0 and out.columns == ["doc_id", "n_tokens", "ids", "round_trip"]
+
+
+def test_small_arrow_batches(spark, tmp_path, monkeypatch):
+    """All Python of the pipeline's stages runs in small batches, after which the session's own size holds again."""
+    import corpus_pipeline
+    from lexmill.llm import common, jaccard, pii
+
+    sizes, real = [], common.written
+
+    def seen(df, label):
+        sizes.append(spark.conf.get(common.BATCH, None))
+        return real(df, label)
+
+    for module in (jaccard, pii, corpus_pipeline):
+        monkeypatch.setattr(module, "written", seen)
+    docs = spark.createDataFrame([(i, f"word{i} and some more words to bob{i}@corp.example here", "en", "a", 0) for i in range(40)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("ngram_jaccard", "redact_pii", "encode_text"):
+            sizes.clear()
+            out = stage(spark, docs, "")
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert sizes and set(sizes) == {str(common.SMALL_BATCH)} and "Arrow" not in plan and "Python" not in plan
+            assert out.count() == 40 and spark.conf.get(common.BATCH, None) is None
+
+    one = spark.range(5000).coalesce(1)
+    with common.small_batches(spark):
+        most = one.mapInArrow(lambda batches: (b.slice(0, 1) for b in batches), "id bigint").count()
+        parity = common.map_lists(one, lambda b: {"k": [i % 2 for i in b["id"]], "n": [1] * len(b["id"])}, "k bigint, n bigint", rows=None, summed=True)
+        assert most == 5 and sorted(map(tuple, parity.collect())) == [(0, 2500), (1, 2500)]
+    spark.conf.set(common.BATCH, "70")
+    try:
+        with common.small_batches(spark):
+            assert spark.conf.get(common.BATCH) == "70"
+        assert spark.conf.get(common.BATCH) == "70"
+    finally:
+        spark.conf.unset(common.BATCH)
