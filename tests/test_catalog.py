@@ -41,3 +41,29 @@ def test_query(spark, duck, name):
         df = duck.sql(ORACLE_SQL[name]).df()
         assert sorted(df.columns) == names
         assert _plain(rows) == _plain(df[names].astype(object).where(df[names].notna(), None).itertuples(index=False, name=None))
+
+
+def _tables(spark, path, **frames):
+    for name, frame in frames.items():
+        frame.write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+def _same_as_sql(spark, path, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in os.listdir(path):
+        con.execute(f"create view {t.removesuffix('.parquet')} as select * from '{path}/{t}/*.parquet'")
+    df, got = con.sql(ORACLE_SQL[name]).df(), QUERIES[name](spark, path)
+    names = sorted(got.columns)
+    assert sorted(df.columns) == names
+    rows = _plain([tuple(r[c] for c in names) for r in got.collect()])
+    assert rows and rows == _plain(df[names].astype(object).where(df[names].notna(), None).itertuples(index=False, name=None))
+    return rows
+
+
+def test_collocations_know_every_supplier(spark, tmp_path):
+    rows = [(p, s, float(p * 7 + s)) for p in range(40) for s in (3, 399, 400, 401, 999, 12345)]
+    path = _tables(spark, tmp_path, lineitem=spark.createDataFrame(rows, "l_partkey bigint, l_suppkey bigint, l_extendedprice double"))
+    _same_as_sql(spark, path, "collocations_by_lemma")
