@@ -169,3 +169,37 @@ def test_manifest(spark):
     drift = spark.createDataFrame([(0.1, None)], "drift_ci_lo double, drift_score_boot double")
     got = {r.check: r.failed for r in manifest.checks(builds, frequency, drift, ["lemmas", "forms", "senses"]).collect()}
     assert got == {"schema_version": False, "manifest_coverage": True, "zipf_scale": True, "drift_columns": True}
+
+
+def test_neighbours_of_many_blocks_are_those_of_all_pairs(spark, monkeypatch):
+    from lexmill.operators import vectors
+
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((300, 16)).astype(np.float32)
+    v[50:90] = v[0]  # ties, settled by id
+    v[290:] = np.eye(16, dtype=np.float32)[:10] / 8
+    v[299, :9] = 1 / 16  # its product with the nine before it is 1/128: 0.007813 in SQL, half away from zero
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id bigint, embedding array<float>")
+    monkeypatch.setattr(vectors, "LEAST", 16)
+    monkeypatch.setattr(vectors, "BLOCKS", 1000)
+    s = vectors.half_away(v.astype(float) @ v.astype(float).T)
+    assert s[299, 290] == 0.007813 and vectors.half_away(np.array([-0.0000005, 0.0000015])).tolist() == [-0.000001, 0.000002]
+    for given in (rows, rows.where("vec_id >= 290")):
+        ids = [r.vec_id for r in given.select("vec_id").collect()]
+        got = {}
+        for r in vectors.exact_neighbours(rows, given, 5).orderBy("place").collect():
+            got.setdefault(r.vec_id, []).append((r.neighbor, r.score))
+        assert got == {i: sorted(((j, s[i, j]) for j in ids if j != i), key=lambda x: (-x[1], x[0]))[:5] for i in range(300)}
+
+
+def test_a_block_of_queries_meets_more_rows_than_a_product():
+    from lexmill.operators.vectors import Best, half_away
+
+    rng = np.random.default_rng(4)
+    q, v = rng.standard_normal((600, 8)), rng.standard_normal((5000, 8))
+    best = Best(np.arange(600), q, 8)
+    for part in np.split(np.arange(5000), [100, 2600]):
+        best.add(part, v[part])
+    s = half_away(q @ v.T)
+    s[np.arange(600), np.arange(600)] = -np.inf
+    assert np.array_equal(best.row.reshape(600, 8), np.lexsort((np.tile(np.arange(5000), (600, 1)), -s))[:, :8])
