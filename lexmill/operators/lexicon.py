@@ -65,10 +65,18 @@ def lineage(steps: DataFrame, key: str, seq: str, node: Column, limit: int) -> D
 
 
 def families(members: DataFrame, group: str, item: str, largest: int, limit: int) -> DataFrame:
-    """item, kin, group_size: items of one group of 1 to `largest` others; the smallest group wins, `limit` kin for each item."""
-    once = members.select(group, item).distinct()
-    sized = once.withColumn("group_size", F.count("*").over(Window.partitionBy(group)) - 1).where(F.col("group_size").between(1, largest))
-    pairs = sized.alias("a").join(sized.alias("b"), (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col(f"a.{item}") != F.col(f"b.{item}")))
+    """item, kin, group_size: items of one group of 1 to `largest` others; the smallest group wins, `limit` kin for each item.
+
+    Not all pairs are formed. A group gives an item its `limit` least kin at most, for any other of the same
+    group comes after those; and once one group has `limit` kin, larger groups come after it.
+    """
+    once = members.select(group, item).where(F.col(group).isNotNull()).distinct()
+    w = Window.partitionBy(group)
+    at = F.row_number().over(w.orderBy(F.asc_nulls_last(item)))
+    sized = once.withColumn("group_size", F.count("*").over(w) - 1).withColumn("_known", F.count(item).over(w)).withColumn("_at", at).where(F.col("group_size").between(1, largest))
+    full = sized.where(F.col("_known") > limit).groupBy(F.col(item).alias("_item")).agg(F.min("group_size").alias("_full"))
+    asked = sized.join(full, F.col(item) == F.col("_item"), "left").where(F.col("group_size") <= F.coalesce("_full", "group_size"))
+    pairs = asked.alias("a").join(sized.where(F.col("_at") <= limit + 1).alias("b"), (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col(f"a.{item}") != F.col(f"b.{item}")))
     least = pairs.groupBy(F.col(f"a.{item}").alias("item"), F.col(f"b.{item}").alias("kin")).agg(F.min("a.group_size").alias("group_size"))
     place = F.row_number().over(Window.partitionBy("item").orderBy("group_size", "kin"))
     return least.withColumn("place", place).where(F.col("place") <= limit).select("item", "kin", "group_size")

@@ -203,3 +203,38 @@ def test_a_block_of_queries_meets_more_rows_than_a_product():
     s = half_away(q @ v.T)
     s[np.arange(600), np.arange(600)] = -np.inf
     assert np.array_equal(best.row.reshape(600, 8), np.lexsort((np.tile(np.arange(5000), (600, 1)), -s))[:, :8])
+
+
+def _joined(frame):
+    """The most rows that a join of an executed plan gave."""
+
+    def walk(p):
+        kind = p.getClass().getSimpleName()
+        inner = p.executedPlan() if kind == "AdaptiveSparkPlanExec" else p.plan() if kind.endswith("QueryStageExec") else None
+        below = [inner] if inner is not None else [p.children().apply(i) for i in range(p.children().size())]
+        own = p.metrics().get("numOutputRows") if "Join" in kind else None
+        return max([own.get().value() if own is not None and own.isDefined() else 0, *map(walk, below)])
+
+    return walk(frame._jdf.queryExecution().executedPlan())
+
+
+def test_families_form_few_pairs(spark):
+    from lexmill.operators import lexicon
+
+    rng = random.Random(5)
+    members = [(g, i) for g in range(120) for i in rng.sample(range(400), rng.choice((1, 2, 3, 14, 30, 60, 61, 62)))] + [(7, None), (None, 3), (None, 4)]
+    got = lexicon.families(spark.createDataFrame(members, "g int, i int"), "g", "i", 60, 12)
+    groups = {}
+    for g, i in members:
+        if g is not None:
+            groups.setdefault(g, set()).add(i)
+    kin, formed = {}, 0
+    for held in groups.values():
+        if 1 <= len(held) - 1 <= 60:
+            formed += len(held) * (len(held) - 1)
+            for a in held - {None}:
+                for b in held - {None, a}:
+                    kin.setdefault(a, {}).setdefault(b, []).append(len(held) - 1)
+    want = {(a, b, n) for a, all_ in kin.items() for n, b in sorted((min(x), b) for b, x in all_.items())[:12]}
+    assert {tuple(r) for r in got.collect()} == want
+    assert 0 < _joined(got) < formed / 4
