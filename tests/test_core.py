@@ -238,3 +238,19 @@ def test_families_form_few_pairs(spark):
     want = {(a, b, n) for a, all_ in kin.items() for n, b in sorted((min(x), b) for b, x in all_.items())[:12]}
     assert {tuple(r) for r in got.collect()} == want
     assert 0 < _joined(got) < formed / 4
+
+
+def test_q_values_are_found_in_ranges_of_p(spark):
+    from lexmill.functions import stats
+
+    rng = random.Random(7)
+    ps = [0.0] * 5 + [1.0] * 4 + [round(rng.random() ** 6, rng.choice((3, 12))) for _ in range(400)]
+    got = stats.with_bh(spark.createDataFrame([(p, i) for i, p in enumerate(ps)], "p double, i int"), "p", ["i"])
+    order = sorted(range(len(ps)), key=lambda i: ps[i])
+    want, low = {}, 1.0
+    for k in range(len(ps), 0, -1):
+        low = min(low, ps[order[k - 1]] * len(ps) / k)
+        want[order[k - 1]] = low
+    assert {r.i: r.q_value for r in got.collect()} == want
+    # a frame from each row to the last is read anew for every row
+    assert "currentrow$(), unboundedfollowing$()" not in got._jdf.queryExecution().executedPlan().toString()
