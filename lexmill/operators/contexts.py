@@ -22,14 +22,17 @@ def collocations(rows: DataFrame, least: int, top: int, text: str = "text") -> D
 
 
 def examples(docs: DataFrame, by: str, top: int) -> DataFrame:
-    """by, sentence, score, place: well-formed sentences nearest to 14 words. A text without a sentence end has none."""
-    raw = docs.select(by, F.explode(F.regexp_extract_all("text", F.lit(r"[^.!?\n]+[.!?]"), F.lit(0))).alias("raw")).distinct()
-    s = raw.select(by, F.btrim("raw", F.lit(" \t\n\r")).alias("sentence")).distinct().withColumn("n", F.size(F.split("sentence", r"\s+")))
+    """by, sentence, score, place: well-formed sentences nearest to 14 words. A text without a sentence end has none.
+
+    Stretches without an end are read whole and left out: looking for an end from each of their letters takes the square of their length.
+    """
+    raw = docs.select(by, F.explode(F.regexp_extract_all("text", F.lit(r"[^.!?\n]++[.!?]?"), F.lit(0))).alias("raw")).where(F.substring("raw", -1, 1).isin(".", "!", "?"))
+    s = raw.select(by, F.btrim("raw", F.lit(" \t\n\r")).alias("sentence")).withColumn("n", F.size(F.split("sentence", r"\s+")))
     digits = F.length(F.regexp_replace("sentence", "[^0-9]", ""))
     good = F.col("n").between(6, 28) & F.col("sentence").rlike(r"^\p{Lu}") & ~F.col("sentence").rlike(r"https?://|www\.|@") & (digits <= 0.15 * F.length("sentence"))
     score = (-F.abs(F.col("n") - 14) + F.when(F.col("sentence").endswith("."), 0.5).otherwise(0.0)).cast("double")
     place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), F.length("sentence"), "sentence"))
-    return s.where(good).withColumn("score", score).withColumn("place", place).where(F.col("place") <= top).select(by, "sentence", "score", "place")
+    return s.where(good).select(by, "sentence", score.alias("score")).distinct().withColumn("place", place).where(F.col("place") <= top).select(by, "sentence", "score", "place")
 
 
 def gap_analysis(log: DataFrame, failed: Column, normalized: str, sample: str, top: int) -> DataFrame:

@@ -254,3 +254,15 @@ def test_q_values_are_found_in_ranges_of_p(spark):
     assert {r.i: r.q_value for r in got.collect()} == want
     # a frame from each row to the last is read anew for every row
     assert "currentrow$(), unboundedfollowing$()" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_long_line_without_an_end_is_read_once(spark):
+    import time
+
+    from lexmill.operators import contexts
+
+    docs = spark.createDataFrame([("en", "One two three four five six."), ("en", "x" * 200_000 + "\nAlso a line of quite some words."), ("en", "No end here, but many words anyway")], "lang string, text string").cache()
+    docs.count()
+    began = time.perf_counter()
+    assert [r.sentence for r in contexts.examples(docs, "lang", 5).orderBy("place").collect()] == ["Also a line of quite some words.", "One two three four five six."]
+    assert time.perf_counter() - began < 10
