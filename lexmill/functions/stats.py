@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import reduce
 from statistics import NormalDist, median, pstdev
 
 from pyspark.sql import Column, DataFrame, Window
@@ -198,3 +199,33 @@ def pool_budget(sizes: dict[int, int], total: int) -> dict[int, int]:
             left -= add
         open_ = [y for y in open_ if given[y] < sizes[y]]
     return given
+
+
+def exact_quantiles(rows: DataFrame, by: str, value: str, shares: list[float], *more: Column) -> DataFrame:
+    """by, p (an array of the exact quantiles, interpolated), more (aggregates): a row for each group, few groups of any size.
+
+    A sketch gives brackets for each share, counts of the cells between them say which cells hold the wanted
+    ranks, and only these cells' values, equal ones as one, are ordered. Where a sketch misses, a larger cell is read.
+    """
+    share = lambda s, d: min(1.0, max(0.0, s + d))
+    ends = [share(s, d) for s in shares for d in (-0.001, 0.001)]
+    groups = rows.groupBy(F.col(by).alias("_by")).agg(F.percentile_approx(value, ends, 10_000).alias("_ends"), F.count(value).alias("_n"), *more)
+    given = rows.select(F.col(by).alias("_of"), F.col(value).alias("_v")).where("_v is not null")
+    cell = sum(((F.col("_v") > F.col("_ends")[i]) if i % 2 else (F.col("_v") >= F.col("_ends")[i])).cast("int") for i in range(len(ends)))
+    celled = given.join(F.broadcast(groups.select("_by", "_ends", "_n")), F.col("_of").eqNullSafe(F.col("_by"))).select("_by", "_n", "_v", cell.alias("_cell"))  # few groups
+    place = lambda s: F.lit(s) * (F.col("_n") - 1)
+    ranks = [f(place(s)) for s in shares for f in (F.floor, F.ceil)]
+    sizes = celled.groupBy("_by", "_n", "_cell").agg(F.count("*").alias("_rows"))
+    until = F.sum("_rows").over(Window.partitionBy("_by").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0))
+    sizes = sizes.withColumn("_before", until - F.col("_rows"))
+    holds = lambda r, n: (r >= F.col("_before")) & (r < F.col("_before") + F.col(n))
+    wanted = sizes.where(reduce(Column.__or__, [holds(r, "_rows") for r in ranks])).select(F.col("_by").alias("_of"), F.col("_cell").alias("_in"), "_before")
+    inside = celled.join(F.broadcast(wanted), F.col("_by").eqNullSafe(F.col("_of")) & (F.col("_cell") == F.col("_in")))  # few cells
+    counts = inside.groupBy("_by", "_n", "_cell", "_before", "_v").agg(F.count("*").alias("_rows"))
+    until = F.sum("_rows").over(Window.partitionBy("_by", "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.withColumn("_before", F.col("_before") + until - F.col("_rows"))
+    found = counts.groupBy("_by", "_n").agg(*[F.max(F.when(holds(r, "_rows"), F.col("_v"))).alias(f"_r{i}") for i, r in enumerate(ranks)])
+    low, high = (lambda i: F.col(f"_r{2 * i}")), (lambda i: F.col(f"_r{2 * i + 1}"))
+    values = F.array(*[low(i) + (high(i) - low(i)) * (place(s) - F.floor(place(s))) for i, s in enumerate(shares)])
+    found = found.select(F.col("_by").alias("_of"), values.alias("p"))
+    return groups.join(found, F.col("_by").eqNullSafe(F.col("_of")), "left").withColumnRenamed("_by", by).drop("_ends", "_n", "_of")

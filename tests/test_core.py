@@ -266,3 +266,23 @@ def test_a_long_line_without_an_end_is_read_once(spark):
     began = time.perf_counter()
     assert [r.sentence for r in contexts.examples(docs, "lang", 5).orderBy("place").collect()] == ["Also a line of quite some words.", "One two three four five six."]
     assert time.perf_counter() - began < 10
+
+
+def test_exact_quantiles(spark):
+    from lexmill.functions import stats
+
+    rng = random.Random(6)
+    values = {"many": [rng.choice((rng.random(), rng.random() * 1e6, -3.0)) for _ in range(3001)], "ties": [1.0] * 500 + [2.0] * 500, "one": [4.5], "two": [1.0, 2.0], None: [0.0, 10.0, 20.0]}
+    rows = spark.createDataFrame([(k, x) for k, v in values.items() for x in v] + [("many", None), ("empty", None)], "k string, x double")
+    got = stats.exact_quantiles(rows, "k", "x", [0.5, 0.025, 0.975], F.count("*").alias("n"))
+    found = {r.k: (r.n, r.p) for r in got.collect()}
+    assert found.pop("empty") == (1, None) and found["many"][0] == 3002
+    assert {k: [round(x, 9) for x in p] for k, (_, p) in found.items()} == {k: [round(float(x), 9) for x in np.quantile(v, [0.5, 0.025, 0.975])] for k, v in values.items()}
+
+
+@pytest.mark.parametrize("name", ["snr_bands", "percentile_ci"])
+def test_quantiles_of_a_group_are_not_held_in_one_task(spark, name):
+    from lexmill.plans.catalog import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert " median(" not in plan and " percentile(" not in plan and "percentile_approx(" in plan
