@@ -77,7 +77,11 @@ def distinctive(found: DataFrame, dispersed: DataFrame, left: str, right: str, b
 
 def dispersion_by(docs: DataFrame, corpus: str, part: str) -> DataFrame:
     """(corpus, token, count, dp): Gries' DP of every token over the parts of each corpus."""
-    counts = token_counts(docs, [corpus, part])
+    return dispersion_of(token_counts(docs, [corpus, part]), corpus, part)
+
+
+def dispersion_of(counts: DataFrame, corpus: str, part: str) -> DataFrame:
+    """dispersion_by() of counts(corpus, part, token, count)."""
     sizes = counts.groupBy(corpus, part).agg(F.sum("count").alias("size"))
     sizes = sizes.withColumn("share", F.col("size") / F.sum("size").over(Window.partitionBy(corpus)))
     inside = counts.withColumn("total", F.sum("count").over(Window.partitionBy(corpus, "token"))).join(sizes, [corpus, part])

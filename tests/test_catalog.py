@@ -67,3 +67,11 @@ def test_collocations_know_every_supplier(spark, tmp_path):
     rows = [(p, s, float(p * 7 + s)) for p in range(40) for s in (3, 399, 400, 401, 999, 12345)]
     path = _tables(spark, tmp_path, lineitem=spark.createDataFrame(rows, "l_partkey bigint, l_suppkey bigint, l_extendedprice double"))
     _same_as_sql(spark, path, "collocations_by_lemma")
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+@pytest.mark.parametrize("name", ["keyness_g2", "keyness_bh"])
+def test_words_are_counted_once(spark, name):
+    got = QUERIES[name](spark, DATA)
+    assert got.collect()
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Generate explode") == 1
