@@ -286,3 +286,17 @@ def test_quantiles_of_a_group_are_not_held_in_one_task(spark, name):
 
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert " median(" not in plan and " percentile(" not in plan and "percentile_approx(" in plan
+
+
+def test_training_of_a_large_slice_is_dealt_to_partitions(spark, monkeypatch):
+    import pyspark.ml.feature as feature
+
+    from lexmill.operators import drift
+
+    asked, plain = [], feature.Word2Vec.fit
+    monkeypatch.setattr(feature.Word2Vec, "fit", lambda self, rows: asked.append(self.getNumPartitions()) or plain(self, rows))
+    lines = spark.createDataFrame([([f"w{(i + j) % 30}" for j in range(10)],) for i in range(60)], "tokens array<string>")
+    train = lambda: {r.token: r["count"] for r in drift.train(lines, size=4, min_count=1, epochs=1).collect()}
+    small = train()
+    monkeypatch.setattr(drift, "WORDS", 200, raising=False)
+    assert train() == small == {f"w{i}": 20 for i in range(30)} and asked == [1, 3]
